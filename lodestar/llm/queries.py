@@ -21,6 +21,13 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    _small_batches(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -38,8 +45,20 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(docs, _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removal_digests
+
+    _small_batches(spark)
+    return removal_digests(table(spark, sf_dir, "documents"), keep="none")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op4_simhash": op4_simhash,
+        "op5_packing": op5_packing,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op10_suffix_array": op10_suffix_array,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
