@@ -14,13 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Entries of a worker's word cache; beyond it the cache starts anew (results don't change).
-CACHE = 400_000
+CACHE = 800_000
 #: Tokens that are packed together, at least; bounds a worker's memory.
 BUCKET = 4_000_000
 
+#: Bytes of text that are encoded together, at least.
+TEXT_BYTES = 8 << 20
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -30,7 +34,8 @@ class WordEncoder:
     """Encodes texts with a tokenizers file that treats white space only as a boundary.
 
     Words between ASCII white space are encoded once and kept; unknown words of a batch are encoded
-    in one call, and offsets tell which ids belong to which word.
+    in one call, and offsets tell which ids belong to which word. Arrow splits the texts and numbers
+    their words, so that Python sees a batch's different words only.
     """
 
     def __init__(self, path: str):
@@ -43,27 +48,52 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
+        """Encodes unknown words. A comma or full stop after a letter or digit is always a token of its
+        own and ASCII capitals don't count, so words that differ in these are encoded once."""
+        known, cores = self.known, []
+        for w in words:
+            core = w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalnum() and w[-2] < "\u0250" else w
+            cores.append(core.lower() if core.isascii() else core)
+        self._encode([c for c in dict.fromkeys([*cores, ",", "."]) if c not in known])
+        for w, core in zip(words, cores):
+            if w not in known:
+                tail = w[-1] if len(core) < len(w) else ""
+                known[w] = known[core] + known[tail] if tail else known[core]
+
+    def _encode(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             e = self.tokenizer.encode_batch([" ".join(some)], add_special_tokens=False)[0]
             ids = np.asarray(e.ids, dtype="<u4")
             starts = np.cumsum([0] + [len(w) + 1 for w in some])
             first = np.asarray([o[0] for o in e.offsets], dtype=np.int64)
-            cuts = np.searchsorted(first, starts)
+            cuts = np.searchsorted(first, starts).tolist()
+            ids = ids.tobytes()
             for w, i, j in zip(some, cuts, cuts[1:]):
-                self.known[w] = ids[i:j].tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ")
-            known = self.known
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                self.learn(new)
-            yield b"".join(map(known.__getitem__, words))
+                self.known[w] = ids[4 * i : 4 * j]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        ends = np.asarray(words.offsets)
+        coded = words.flatten().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        got = [self.known.get(w) for w in own]
+        new = [w for w, x in zip(own, got) if x is None]
+        if new:
+            if len(self.known) + len(new) > CACHE:
+                self.known.clear()
+            self.learn(new)
+            got = [self.known[w] if x is None else x for w, x in zip(own, got)]
+        at = np.asarray(coded.indices)
+        sizes = np.asarray([len(x) for x in got], dtype=np.int64) // 4
+        ids = np.frombuffer(b"".join(got), dtype="<u4")
+        count = sizes[at]
+        before = np.r_[0, np.cumsum(count)]
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - before[:-1], count) + np.arange(before[-1])
+        ids = ids[place].tobytes()
+        bounds = (4 * before[ends - ends[0]]).tolist()
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -75,6 +105,18 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least `size` bytes, where there are so many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     """The window (0..k-1) of each item by multiway differencing.
 
@@ -230,9 +272,8 @@ def pack_documents(
             ids.clear()
             keys.clear()
 
-        for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for key, got in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
+        for batch in gathered(batches, TEXT_BYTES):
+            for key, got in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text"))):
                 got += end
                 ids.append(got)
                 keys.append(key)
