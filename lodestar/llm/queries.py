@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import new_path, table
 
 
 def _small_batches(spark: SparkSession) -> None:
@@ -27,6 +28,30 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import prefix_tree, read_back
+
+    _small_batches(spark)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    turns = ((0, "user"), (1, "assistant"))
+    added = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role")) for t, r in turns))).alias("x"),
+    )
+    added = added.select("conv_id", "x.turn", "x.role", F.lit(probe).alias("text"))
+    return read_back(*prefix_tree(rows.unionByName(added)))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import transactions, write_archives
+
+    _small_batches(spark)
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return transactions(spark, path)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -57,6 +82,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(docs, _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    _small_batches(spark)
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import removal_digests
 
@@ -67,10 +99,13 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_chat_format": op2_chat_format,
+        "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
         "op5_packing": op5_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_html_text": op9_html_text,
         "op10_suffix_array": op10_suffix_array,
     }
 
