@@ -7,19 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once: texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
-
-
-def _tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from .common import bounded_batches, new_path, table, tokenizer_path
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +19,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import prefix_tree, read_back
 
-    _small_batches(spark)
+    bounded_batches(spark)
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     turns = ((0, "user"), (1, "assistant"))
@@ -46,7 +34,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import transactions, write_archives
 
-    _small_batches(spark)
+    bounded_batches(spark)
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return transactions(spark, path)
@@ -55,15 +43,24 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
-    _small_batches(spark)
+    bounded_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    _small_batches(spark)
-    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    bounded_batches(spark)
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import near_copies, rendered
+
+    bounded_batches(spark)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = near_copies(rendered(vectors), F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,22 +74,22 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import digest_documents
 
-    _small_batches(spark)
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    return digest_documents(docs, _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digest_documents(docs, tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
-    _small_batches(spark)
+    bounded_batches(spark)
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import removal_digests
 
-    _small_batches(spark)
+    bounded_batches(spark)
     return removal_digests(table(spark, sf_dir, "documents"), keep="none")
 
 
@@ -103,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc": op3_warc,
         "op4_simhash": op4_simhash,
         "op5_packing": op5_packing,
+        "op6_media_copies": op6_media_copies,
         "op7_quality_rules": op7_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_html_text": op9_html_text,

@@ -32,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -492,8 +493,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
 
     The remains of a character that was cut are dropped; n_chars, where docs has it, is counted anew.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series(
