@@ -1 +1 @@
-""""""
+"""Predicates and scalar functions."""

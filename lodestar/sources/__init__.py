@@ -1 +1 @@
-""""""
+"""Schemas, files and tables."""
