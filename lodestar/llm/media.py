@@ -1,7 +1,7 @@
 """Media columns (operator 6): local image descriptors find cropped or edited copies.
 
-An image (binary PGM, 8 bit) gives corners at several scales: Harris responses, the strongest of each
-CELL x CELL square above a share of the image's maximum. Each corner has the direction of its
+An image (binary PGM, 8 bit) gives corners at several scales: Harris responses that are the largest of
+their neighbourhood and above a share of the image's maximum. Each corner has the direction of its
 intensity centroid and, turned by it, BITS binary brightness tests. A stated set of queries is searched
 against all images: the queries' descriptors come in blocks of QUERY_BLOCK images, whose Hamming tables
 (a sorted table for each of BANDS bands of a descriptor) have a fixed size and go to the tasks with the
@@ -29,16 +29,18 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCALES = (1.0, 0.8)
-CELL, BORDER, BITS, TURNS = 8, 11, 256, 32
-BANDS, BAND_BITS = 12, 20
-MOST_BITS, LEAST_VOTES = 48, 5
+BORDER, BITS, TURNS = 11, 256, 32
+BANDS, BAND_BITS = 10, 25
+MOST_BITS, LEAST_VOTES = 44, 4
 #: Width of a vote for the shift, in pixels, and for the turn, in steps of a full turn / TURNS.
 SHIFT, TURN = 6.0, 3
 #: Share of the strongest response that a corner has at least.
 LEAST_RESPONSE = 0.02
 QUERY_BLOCK = 4096
-#: Pixels that are worked on at once, about.
-PIXELS = 1 << 20
+#: Pixels, corners and candidates that are worked on at once, about.
+PIXELS, CORNERS, CANDIDATES = 1 << 19, 1000, 1 << 20
+#: Images whose corners are looked up together.
+IMAGES = 100
 
 _rng = np.random.default_rng(11)
 _TESTS = np.clip(_rng.normal(0, 4.0, (BITS, 2, 2)), -7, 7)
@@ -101,8 +103,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for scale in SCALES:
         x = _resized(whole, scale)
         n, h, w = x.shape
-        rows, cols = (h - 2 * BORDER) // CELL, (w - 2 * BORDER) // CELL
-        if rows < 1 or cols < 1:
+        if min(h, w) <= 2 * BORDER:
             continue
         smooth = _box(x, 1) / 9
         gy, gx = np.gradient(smooth, axis=(1, 2))
@@ -121,12 +122,15 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i, y, xx = np.nonzero(peak & inner)
         if not len(i):
             continue
-        wide = _box(x, 2) / 25
-        disc = wide[i[:, None], y[:, None] + _DISC[:, 1], xx[:, None] + _DISC[:, 0]]
-        angle = np.arctan2(disc @ _DISC[:, 1].astype(np.float32), disc @ _DISC[:, 0].astype(np.float32))
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        for at in range(0, len(i), 20_000):
-            s = slice(at, at + 20_000)
+        wide = _box(x, 1) / 9
+        turn = np.zeros(len(i), dtype=int)
+        for at in range(0, len(i), CORNERS):
+            s = slice(at, at + CORNERS)
+            disc = wide[i[s, None], y[s, None] + _DISC[:, 1], xx[s, None] + _DISC[:, 0]]
+            angle = np.arctan2(disc @ _DISC[:, 1].astype(np.float32), disc @ _DISC[:, 0].astype(np.float32))
+            turn[s] = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
+        for at in range(0, len(i), CORNERS):
+            s = slice(at, at + CORNERS)
             off = _ROTATED[turn[s]]
             v = wide[i[s, None, None], y[s, None, None] + off[..., 1], xx[s, None, None] + off[..., 0]]
             owners.append(i[s])
@@ -139,7 +143,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def bands(bits: np.ndarray) -> np.ndarray:
     """(corner, band): the bands' values."""
     flat = np.unpackbits(bits, axis=1)[:, : BANDS * BAND_BITS].reshape(-1, BANDS, BAND_BITS)
-    return flat @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+    return flat.astype(np.int32) @ (1 << np.arange(BAND_BITS, dtype=np.int32))
 
 
 class Tables:
@@ -169,9 +173,22 @@ class Tables:
         return m[near], q[near]
 
     def copies(self, owner: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(query, image, votes) where votes for one turn, scale and shift suffice."""
+        """(query, image, votes) where votes for one turn, scale and shift suffice. Images, whose corners
+        lie together, are taken as many at a time as CANDIDATES allow; one is never cut."""
         if not len(owner) or not len(self.owner):
             return
+        values = bands(bits)
+        count = np.zeros(len(owner), dtype=np.int64)
+        for k in range(BANDS):
+            count += np.searchsorted(self.sorted[k], values[:, k], side="right")
+            count -= np.searchsorted(self.sorted[k], values[:, k])
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        part = (np.cumsum(np.add.reduceat(count, first)) - 1) // CANDIDATES
+        cuts = np.r_[first[np.r_[True, part[1:] != part[:-1]]], len(owner)]
+        for i, j in zip(cuts, cuts[1:]):
+            yield from self._copies(owner[i:j], place[i:j], bits[i:j])
+
+    def _copies(self, owner: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
         m, q = self.matches(bits)
         if not len(m):
             return
@@ -256,8 +273,12 @@ def _search(images: DataFrame, ids: list[int], tables: Tables) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("id").to_pylist()
-            corners = _unpacked(batch.column("places").to_pylist(), batch.column("bits").to_pylist())
-            found = [(ids[q], own[i], n) for q, i, n in tables.copies(*corners) if ids[q] != own[i]]
+            places, bits = batch.column("places").to_pylist(), batch.column("bits").to_pylist()
+            found = []
+            for at in range(0, len(own), IMAGES):
+                corners = _unpacked(places[at : at + IMAGES], bits[at : at + IMAGES])
+                copies = ((ids[q], own[at + i], n) for q, i, n in tables.copies(*corners))
+                found += [x for x in copies if x[0] != x[1]]
             if found:
                 q, i, n = zip(*found)
                 yield pa.RecordBatch.from_arrays(
@@ -332,8 +353,8 @@ def texture(vector: list[float], side: int = 64) -> np.ndarray:
         y, x = np.mgrid[0:side, 0:side] / side
         waves = []
         for _ in range(n):
-            turn, rate, phase = rng.uniform(0, 2 * np.pi), rng.uniform(2, 9), rng.uniform(0, 2 * np.pi)
-            cx, cy, wide = rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(0.15, 0.4)
+            turn, rate, phase = rng.uniform(0, 2 * np.pi), rng.uniform(6, 13), rng.uniform(0, 2 * np.pi)
+            cx, cy, wide = rng.uniform(0, 1), rng.uniform(0, 1), rng.uniform(0.1, 0.3)
             spot = np.exp(-((x - cx) ** 2 + (y - cy) ** 2) / (2 * wide * wide))
             waves.append(spot * np.cos(2 * np.pi * rate * (x * np.cos(turn) + y * np.sin(turn)) + phase))
         _patterns[n, side] = np.stack(waves).reshape(n, -1)
