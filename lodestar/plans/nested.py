@@ -152,10 +152,11 @@ def leave_one_out(
         F.sum(measure).alias("_s"), F.count(measure).alias("_n")
     )
     total = own.agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("s"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
-    n = F.lit(total["n"]) - F.coalesce("_n", F.lit(0))
+    # A null key differs from no key, so its subquery is empty: a count of 0, a null sum.
+    n = F.when(F.col(key).isNull(), 0).otherwise(F.lit(total["n"]) - F.coalesce("_n", F.lit(0)))
     s = F.lit(total["s"]) - F.coalesce("_s", F.lit(0))
     other = n if kind == "count" else F.when(n > 0, s)
-    joined = outer.join(own, F.col(key) == F.col("_k"), "left").where(F.col(key).isNotNull())
+    joined = outer.join(own, F.col(key) == F.col("_k"), "left")
     return joined.where(_COMPARE[op](F.col(value), other)).select(*outer.columns)
 
 
