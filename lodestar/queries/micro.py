@@ -94,13 +94,13 @@ SQL = {
     "agg_key_expression": "SELECT p_size % 5 AS k, count(*) AS n FROM part GROUP BY p_size % 5",
     "agg_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15",
     "agg_having_sum": "SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 200",
-    "agg_empty": "SELECT min(p_size) AS lo, sum(p_size) AS s, count(*) AS n FROM part WHERE p_size > 1000",
+    "agg_empty": "SELECT min(p_size) AS lo, CAST(sum(p_size) AS BIGINT) AS s, count(*) AS n FROM part WHERE p_size > 1000",
     "agg_rollup": "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY ROLLUP (p_type, p_brand)",
     "agg_cube": "SELECT p_type, p_size, count(*) AS n FROM part GROUP BY CUBE (p_type, p_size)",
     "agg_grouping_sets": "SELECT p_type, p_brand, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_type), (p_brand), ())",
     "agg_statistics": "SELECT round(stddev_samp(p_size), 6) AS sd, round(var_pop(p_size), 6) AS v, "
     "round(corr(p_size, p_retailprice), 6) AS c, round(covar_pop(p_size, p_size), 6) AS cv FROM part",
-    "agg_regression": "SELECT round(regr_slope(p_retailprice, p_size), 6) AS slope, regr_count(p_retailprice, p_size) AS n FROM part",
+    "agg_regression": "SELECT round(regr_slope(p_retailprice, p_size), 6) AS slope, CAST(regr_count(p_retailprice, p_size) AS BIGINT) AS n FROM part",
     "agg_median": "SELECT l_returnflag, median(l_quantity) AS m FROM lineitem GROUP BY l_returnflag",
     # order and limit
     "order_one": "SELECT p_partkey FROM part ORDER BY p_partkey",
@@ -114,7 +114,7 @@ SQL = {
     "fn_concat": "SELECT p_partkey, p_brand || '/' || p_type AS a FROM part",
     "fn_power": "SELECT p_partkey, power(p_size, 2) AS a FROM part",
     "fn_cast": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS a, CAST(l_orderkey AS VARCHAR(20)) AS b FROM lineitem WHERE l_orderkey < 200",
-    "fn_date_parts": "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m FROM orders",
+    "fn_date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders",
     "fn_interval": "SELECT count(*) AS a FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' + INTERVAL '3' MONTH",
 }
 #: The oracle's text where its syntax differs.

@@ -64,6 +64,20 @@ def register(spark: SparkSession, sf_dir: str, star: bool = False) -> None:
             derived[own].createOrReplaceTempView(name)
 
 
+def preload(spark: SparkSession, names: list[str], budget: int) -> list[str]:
+    """Caches views that a query reads more than once, the smallest first by Catalyst's estimate, as long
+    as they fit the budget in bytes together. Gives the names of those that do."""
+    sizes = {n: int(str(spark.table(n)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for n in names}
+    kept: list[str] = []
+    for name in sorted(sizes, key=sizes.__getitem__):
+        budget -= sizes[name]
+        if budget < 0:
+            break
+        spark.catalog.cacheTable(name)
+        kept.append(name)
+    return kept
+
+
 def with_derived(sql: str) -> str:
     """sql after WITH clauses for those derived tables that it names."""
     used = [n for n in DERIVED if n in sql]

@@ -77,3 +77,26 @@ def test_cli(spark, sf_dir, tmp_path, capsys):
     (tmp_path / "n.sql").write_text("select n_name from nation where n_regionkey = (select min(r_regionkey) from region)")
     assert main([str(tmp_path / "n.sql"), "--data", sf_dir, "--types"]) == 0
     assert capsys.readouterr().out.strip() == "A scalar"
+
+
+def test_preload_keeps_to_its_budget(views):
+    from lodestar.sources.tables import preload
+
+    try:
+        assert preload(views, ["lineitem", "region"], 100_000) == ["region"]
+        assert views.catalog.isCached("region") and not views.catalog.isCached("lineitem")
+    finally:
+        views.catalog.clearCache()
+
+
+def test_generated_tables(spark, tmp_path):
+    from lodestar.queries import star
+    from lodestar.sources.generate import ROWS, generated, rows_of, write_tables
+
+    write_tables(spark, str(tmp_path), 0.001)
+    for name in ROWS:
+        df = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        assert df.count() == rows_of(name, 0.001)
+        assert df.exceptAll(generated(spark, name, 0.001)).count() == 0
+    assert star.queries()["ssb_q1_1"](spark, str(tmp_path)).count() == 1
+    assert generated(spark, "orders", 0.001).schema["o_orderdate"].dataType == T.TimestampNTZType()
