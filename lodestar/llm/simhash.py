@@ -239,6 +239,8 @@ def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
         F.coalesce("low", F.when(F.col("root").isNull(), F.col("first"))).alias("component_id"),
         F.coalesce("root", "fp").alias("component_fp"),
     )
+    # As a table of its own, so that the join can split a fingerprint that very many documents have.
+    whole, _ = cut(whole, "components")
     return fps.join(whole, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_fp")
 
 
@@ -259,6 +261,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(key, F.col("text_hash").alias("_hash"))).alias("k"))
         .select("k.*")
     )
-    keyed = docs.select("*", key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    keyed = docs.select(F.struct("*").alias("doc"), key, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
     one = keyed.join(kept, ["_key", "_hash"], "left_semi")
-    return one.dropDuplicates(["_key", "_hash"]).select(*docs.columns)
+    return one.dropDuplicates(["_key", "_hash"]).select("doc.*")
