@@ -15,8 +15,8 @@ bytes long, and only segments whose anchor occurs again go on:
    of such neighbours; the first position of a run is the one that has neither.
 4. Shards with more than MOST different segments (a passage in very many surroundings) are cut by what
    lies around the anchor: windows whose anchors lie WIDTH bytes apart at most share a core, and go to
-   the shard of that core. Cores that occur once are dropped, and only where different windows share
-   a core are single windows compared, by count.
+   the shard of that core. There too equal surroundings are counted, and only where different ones
+   share a core are the windows of one of each compared, by count.
 
 keep="first" removes later copies and keeps the first by (doc_id, place); keep="none" removes all.
 
@@ -136,8 +136,10 @@ def _slices(text: bytes, length: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """Whole rows as a struct `doc`, so that no column clashes, with their key and text."""
     return docs.select(
-        "*",
+        F.struct("*").alias("doc"),
+        "text",
         F.coalesce("doc_id", F.lit(LOWEST)).alias("_key"),
         F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32).cast("int").alias("_hash"),
     )
@@ -322,28 +324,33 @@ def _shard_spans(rows: DataFrame, length: int, keep: str) -> DataFrame:
 
 
 def _core_spans(cores: DataFrame, length: int, keep: str) -> DataFrame:
-    """Spans of single windows that share a core; cores(core, cover, _key, _hash, lo, windows)."""
-    place = F.struct("_key", "_hash", "lo")
-    counted = cores.groupBy("core").agg(
-        F.count("*").alias("m"), F.min("cover").alias("c0"), F.max("cover").alias("c1"), F.min(place).alias("p0")
-    )
-    shared = cores.join(counted.where("m > 1"), "core")
-    equal = shared.where("c0 = c1")
+    """Spans of windows that share a core; cores(core, cover, _key, _hash, lo, windows).
+
+    As with segments, equal covers are counted first: all windows of a cover that occurs again repeat.
+    Only one of each different cover has its windows compared, by count.
+    """
+    place = F.struct("_key", "_hash", "lo", "windows")
+    each = cores.groupBy("core", "cover").agg(F.count("*").alias("m"), F.min(place).alias("p0"))
+    each, _ = cut(each, "cores")
+    again = each.where("m > 1").select("core", "cover", "p0")
+    copies = cores.join(again, ["core", "cover"])
     if keep == "first":
-        equal = equal.where(place != F.col("p0"))
-    equal = equal.select("_key", "_hash", "lo", (F.col("lo") + F.size("windows") + (length - 1)).alias("hi"))
-    single = shared.where("c0 < c1").select(
-        "core", "_key", "_hash", "lo", F.posexplode("windows").alias("i", "window")
+        copies = copies.where(F.struct("_key", "_hash", "lo") != F.struct("p0._key", "p0._hash", "p0.lo"))
+    copies = copies.select("_key", "_hash", "lo", (F.col("lo") + F.size("windows") + (length - 1)).alias("hi"))
+    several, _ = cut(each.groupBy("core").agg(F.count("*").alias("covers")).where("covers > 1").select("core"), "several")
+    single = each.join(several, "core", "left_semi").select(
+        "core", "m", "p0._key", "p0._hash", "p0.lo", F.posexplode("p0.windows").alias("i", "window")
     )
-    single = single.select("core", "window", "_key", "_hash", (F.col("lo") + F.col("i")).alias("lo"))
-    again = single.groupBy("core", "window").agg(F.count("*").alias("m"), F.min(place).alias("p0")).where("m > 1")
-    found = single.join(again, ["core", "window"])
-    if keep == "first":
-        found = found.where(place != F.col("p0"))
-    return equal.unionByName(found.select("_key", "_hash", "lo", (F.col("lo") + length).alias("hi")))
+    single = single.select("core", "window", "m", "_key", "_hash", (F.col("lo") + F.col("i")).alias("lo"))
+    here = F.struct("_key", "_hash", "lo")
+    found = single.groupBy("core", "window").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
+    found, _ = cut(found, "windows")
+    found = single.join(found, ["core", "window"])
+    found = found.where(here != F.col("first")) if keep == "first" else found.where("m = 1")
+    return copies.unionByName(found.select("_key", "_hash", "lo", (F.col("lo") + length).alias("hi")))
 
 
-def _texts(keyed: DataFrame, wanted: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted segments, and the cores of those in crowded shards."""
     from xxhash import xxh3_64_intdigest
 
@@ -409,8 +416,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", gram
         .where("m > 1")
         .select("anchor", (F.col("c0") < F.col("c1")).alias("several"))
     )
+    # As a table of its own, so that the join has its own exchanges and its hot anchors can be split.
+    groups, groups_path = cut(groups, "anchors")
     some, some_path = cut(all_of.join(groups, "anchor"), "shared")
     drop_path(spark, path)
+    drop_path(spark, groups_path)
     place = F.struct("_key", "_hash", "lo", "n", "off")
     each = some.groupBy("anchor", "cover", "several").agg(F.count("*").alias("m"), F.min(place).alias("p0"))
     each, each_path = cut(each, "covers")
@@ -421,9 +431,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", gram
         copies = copies.where(F.struct("_key", "_hash", "lo") != first)
     copies = copies.select("_key", "_hash", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
     several = each.where("several")
-    crowd = several.groupBy("anchor").agg((F.count("*") > MOST).alias("crowded"))
-    wanted = several.join(crowd, "anchor").select(
-        "anchor", "p0.*", (F.lit(keep == "first") | (F.col("m") == 1)).alias("want"), "crowded"
+    crowd = several.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > MOST)
+    crowd, _ = cut(crowd.select("anchor", F.lit(True).alias("crowded")), "crowded")
+    wanted = several.join(crowd, "anchor", "left").select(
+        "anchor",
+        "p0.*",
+        (F.lit(keep == "first") | (F.col("m") == 1)).alias("want"),
+        F.coalesce("crowded", F.lit(False)).alias("crowded"),
     )
     texts, texts_path = cut(_texts(keyed, wanted, length), "texts")
     shards = _shard_spans(texts.where("bytes IS NOT NULL").select("anchor", "_key", "_hash", "lo", "want", "bytes"), length, keep)
@@ -450,7 +464,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _with_spans(docs: DataFrame, length: int, keep: str) -> DataFrame:
     spans = repeated_spans(docs, length, keep)
     listed = spans.groupBy("_key", "_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    return _keyed(docs).join(listed, ["_key", "_hash"], "left")
+    return _keyed(docs).join(listed, ["_key", "_hash"], "left").select("doc", F.col("doc.text").alias("text"), "_spans")
 
 
 def _kept(text: str | None, spans: list | None) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -483,7 +497,7 @@ def removal_digests(docs: DataFrame, length: int = 400, keep: str = "none") -> D
                 }
             )
 
-    return _with_spans(docs, length, keep).select("doc_id", "text", "_spans").mapInArrow(
+    return _with_spans(docs, length, keep).select("doc.doc_id", "text", "_spans").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -505,7 +519,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
 
     out = _with_spans(docs, length, keep)
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans")).alias("text")
-    out = out.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    out = out.select(*(text if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         count = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)
