@@ -231,12 +231,13 @@ def pack(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, int
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, bucket: int = BUCKET
+    docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 4096, bucket: int = BUCKET, forget: bool = False
 ) -> DataFrame:
     """Tokenizes and packs docs(doc_id, text); a row per piece, with PIECES as columns.
 
     Needs no shuffle: each task packs what it reads, a bucket of tokens at a time, so that memory is
-    bounded and a hot source or a skewed key plays no part.
+    bounded and a hot source or a skewed key plays no part. With forget, a worker's word cache goes at
+    the end of each task, where other stages share the workers' memory.
     """
     end = array("I", [end_id]).tobytes()
 
@@ -282,6 +283,8 @@ def pack_documents(
                     yield from flush()
         if ids:
             yield from flush()
+        if forget:
+            enc.known.clear()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -46,7 +46,7 @@ MOST = 512
 #: Offsets that share a core.
 WIDTH = 20
 #: Bytes whose windows or suffixes a task handles at once, at least.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 LOWEST = -(2**63)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
