@@ -52,10 +52,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of this application whose schema is known: reading a footer again takes a job. Files are taken not to
+#: change under a path while the application runs.
+_known: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _known:
+        _known[key] = table(spark, sf_dir, name)
+    return _known[key]
+
+
 def register(spark: SparkSession, sf_dir: str, star: bool = False) -> None:
     """Temporary views of all tables; with star, the star schema's names hide the others."""
     for name in BASE:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+        _base(spark, sf_dir, name).createOrReplaceTempView(name)
     derived = {name: spark.sql(text) for name, text in DERIVED.items()}
     for name, df in derived.items():
         df.createOrReplaceTempView(name)
