@@ -20,7 +20,7 @@ null; repeated rows are in the same group; an empty table gives no rows; other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -227,10 +227,16 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, component_fp) for every row of docs(doc_id, text)."""
     fps, _ = cut(fingerprints(docs, shingle), "simhash")
+    found, path = cut(links(fps.select("fp").distinct(), radius), "links")
+    out = labelled(fps, found)
+    drop_path(docs.sparkSession, path)
+    return out
+
+
+def labelled(fps: DataFrame, found: DataFrame) -> DataFrame:
+    """fps(doc_id, text_hash, fp) with component_id and component_fp, by links found(a, b) between fps."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found, path = cut(links(nodes.select("fp"), radius), "links")
     labels = connected_components(found, "a", "b").withColumnRenamed("node", "fp")
-    drop_path(docs.sparkSession, path)
     linked = nodes.join(labels, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("low"))
     linked = linked.select("fp", "root").join(smallest, "root")
@@ -251,11 +257,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id."""
     key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
     kept = (
-        components(docs)
+        groups(docs)
         .where("doc_id <=> component_id")
         .groupBy("component_fp")
         .agg(F.min(F.struct(key, F.col("text_hash").alias("_hash"))).alias("k"))
