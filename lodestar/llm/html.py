@@ -12,7 +12,8 @@ block made one space, blocks joined by a line feed in page order.
 
 Cases: a null or empty html, and a page without content, give an empty text; null ids and urls stay;
 unclosed elements end with their parent or the page; scripts, styles, templates and comments are never
-blocks; repeated rows give equal rows; an empty table gives none; other columns are ignored.
+blocks, nor are closed elements of CLOSED, whose self-closed or unclosed tags alone count as inline;
+text in math and object stays; repeated rows give equal rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,17 +35,23 @@ TRAINED_ON, PASSES, SEED = 800, 30, 7
 #: Blocks that are labelled together, at most (but a page is never cut).
 MOST_BLOCKS = 20_000
 
-RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|button"
+#: Elements that are dropped: to the end of the page if unclosed, or only if they are closed.
+RAW = "script|style|template"
+CLOSED = "noscript|svg|iframe|canvas|select|textarea|button"
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
 _TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>(?:.*?</\1\s*>|.*\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\1\s*>|.*\Z)"
+    rf"|<({CLOSED})(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>"
+    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
-)
+    "small span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot "
+    "msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose mfenced mtable mtr mtd "
+    "semantics annotation".split()
+) | frozenset(CLOSED.split("|"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that closes an open one of these, up to the nearest of what can hold it.
 CLOSES = {
@@ -82,18 +89,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if links:
                 linked += m.start() - at
         at = m.end()
-        name = m.group(3)
+        name = m.group(4)
         if name is None:
             continue
         name = name.lower()
         if name in INLINE:
             if name == "a":
-                links = max(0, links - 1) if m.group(2) else 1
+                links = max(0, links - 1) if m.group(3) else 1
             elif name == "br":
                 parts.append("\n")
             continue
         end()
-        if m.group(2):
+        if m.group(3):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -111,7 +118,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if stack[i][0] in HOLDS:
                     break
         words = [name]
-        attributes = m.group(4)
+        attributes = m.group(5)
         if attributes and "=" in attributes:
             for a in _NAMES.finditer(attributes):
                 words += [f"{name}.{w}" for w in re.split(r"[\s_\-]+", (a[1] or a[2] or a[3] or "").lower()) if w]

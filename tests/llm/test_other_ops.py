@@ -203,6 +203,19 @@ def test_blocks():
     assert html.blocks("a < b")[0][1] == "a < b"
 
 
+def test_blocks_after_tags_without_content():
+    """Self-closed, unclosed and custom elements don't take the rest of the page along."""
+    text = lambda page: [b[1] for b in html.blocks(page)]
+    for tag in (
+        '<svg class="i"/>', "<svg-icon></svg-icon>", "<button-x></button-x>", "<noscript-x>n</noscript-x>", "<button>",
+        "<object>", "<canvas/>", "<SELECT>", "<script-x></script-x>", "<button><p>b</p><button>c</button>",
+    ):
+        got = text(f"<article><p>one</p>{tag}<p>two</p></article>")
+        assert got[0] == "one" and got[-1] == "two" and "c" not in got, tag
+    assert text("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b<object data=u><param name=n>t</object>") == ["a x=1 b", "t"]
+    assert text("<p>a<svg><text>s</text></svg><button\nid='>'>b</button ><noscript>n</noscript>c<style>d") == ["ac"]
+
+
 def test_labeller_on_held_out_pages():
     pages, labels = html.generated(300, seed=1234)
     found = html.trained().label(pages)
