@@ -30,6 +30,15 @@ def test_matches_oracle(name, spark, sf_dir, oracle):
     assert sorted(tuple(_cell(r[c]) for c in names) for r in got) == want
 
 
+def test_operators_read_whole_tables(spark, sf_dir):
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("lineitem", "region", "supplier")}
+    rows = lambda name: entry.queries()[name](spark, sf_dir)
+    assert rows("project_arithmetic").count() == rows("fn_cast").count() == n["lineitem"]
+    assert rows("join_cross").count() == n["region"] * n["supplier"]
+    keys = [r.s_nationkey for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()]
+    assert rows("join_without_key").first().a == sum(r < k for r in range(n["region"]) for k in keys)
+
+
 def test_every_reference_query_has_an_oracle():
     own = micro.queries() | nested.queries() | star.queries()
     assert set(own) == set(_SQL)
