@@ -11,9 +11,9 @@ The main text is the blocks labelled as content: character references decoded, w
 block made one space, blocks joined by a line feed in page order.
 
 Cases: a null or empty html, and a page without content, give an empty text; null ids and urls stay;
-unclosed elements end with their parent or the page; scripts, styles, templates and comments are never
-blocks, nor are closed elements of CLOSED, whose self-closed or unclosed tags alone count as inline;
-text in math and object stays; repeated rows give equal rows; an empty table gives none; other columns are ignored.
+unclosed elements end with their parent or the page; scripts, styles, other raw texts and comments are never
+blocks, nor are closed elements of CLOSED, whose self-closed or unclosed tags alone count as inline; tags in
+bad form end where HTML's own tokenizer ends them; text in math and object stays; repeated rows give equal rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,23 +35,29 @@ TRAINED_ON, PASSES, SEED = 800, 30, 7
 #: Blocks that are labelled together, at most (but a page is never cut).
 MOST_BLOCKS = 20_000
 
-#: Elements that are dropped: to the end of the page if unclosed, or only if they are closed.
-RAW = "script|style|template"
-CLOSED = "noscript|svg|iframe|canvas|select|textarea|button"
-_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
-_TOKENS = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}>(?:.*?</\1\s*>|.*\Z)"
-    rf"|<({CLOSED})(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?:(?!<\2[\s/>]).)*?</\2\s*>"
-    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>",
-    re.S | re.I,
+#: Elements whose text holds no tags: dropped up to the end tag. Without one, those of ENDLESS take the rest.
+RAW = frozenset("script style iframe noembed noframes xmp textarea".split())
+ENDLESS = frozenset(("script", "style"))
+#: Elements that are dropped if they are closed; else their tags count as inline.
+CLOSED = frozenset("noscript svg canvas select button template".split())
+#: A tag in good form. Nothing in it runs beyond the next "<", so that reading takes linear time.
+_TAG = re.compile(
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s"'<>/=]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'=<>`]++))?+)*+\s*+/?)>"""
 )
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: A step through a tag in bad form: its end, or an attribute's name with the quote that opens its value.
+_STEP = re.compile(r"""[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+(=)\s*+(["']?))?)""")
+_BARE = re.compile(r"[^\s>]*+")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in (*RAW, "title")}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Words of a block's path, and open elements that an end of another is looked for in, at most.
+MOST_WORDS, MOST_OPEN = 200, 50
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp "
     "small span strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mspace mrow mfrac msqrt mroot "
     "msub msup msubsup munder mover munderover mmultiscripts mstyle mpadded mphantom menclose mfenced mtable mtr mtd "
     "semantics annotation".split()
-) | frozenset(CLOSED.split("|"))
+) | CLOSED | RAW
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag that closes an open one of these, up to the nearest of what can hold it.
 CLOSES = {
@@ -66,13 +72,118 @@ for _t in (
 HOLDS = frozenset("ul ol dl table article aside section div main nav form body header footer blockquote".split())
 
 
+def tokens(page: str) -> list[tuple[str, str, str]]:
+    """(mark, name or text, attributes) in order: mark "" for text, "<" for a start, "." for a start that
+    closes itself, "/" for an end. Comments, declarations and raw texts are left out.
+
+    Follows the states of HTML's own tokenizer, but a quote that is never closed doesn't open a value, and
+    a raw text that is never closed holds nothing. Each character is read a bounded number of times.
+    """
+    out: list[tuple[str, str, str]] = []
+    missing: set[str] = set()  # what is not found further on
+    at = text = 0
+
+    def found(what: str, start: int) -> int:
+        place = -1 if what in missing else page.find(what, start)
+        if place < 0:
+            missing.add(what)
+        return place
+
+    def bad_form(start: int) -> int:
+        """The end of a tag whose attributes begin at start; 0 if it has none."""
+        while m := _STEP.match(page, start):
+            start = m.end()
+            if m[1]:
+                return start
+            if m[3] and (end := found(m[3], start)) >= 0:
+                start = end + 1
+            elif m[2]:
+                start = _BARE.match(page, start).end()
+        return 0
+
+    while (at := page.find("<", at)) >= 0:
+        after = page[at + 1 : at + 2]
+        beyond = page[at + 2 : at + 3]
+        if after and after in "!?" or after == "/" and beyond and not beyond.isalpha():
+            what, start = ("-->", at + 2) if page.startswith("<!--", at) else (">", at + 2)
+            end = found(what, start)
+            if text < at:
+                out.append(("", page[text:at], ""))
+            if end < 0:
+                return out
+            at = text = end + len(what)
+            continue
+        m = _TAG.match(page, at)
+        if m:
+            end, attributes = m.end(), m[3]
+        else:
+            m = _NAME.match(page, at)
+            if not m:
+                at += 1
+                continue
+            end = bad_form(m.end())
+            attributes = page[m.end() : end - 1]
+        if text < at:
+            out.append(("", page[text:at], ""))
+        if not end:
+            return out
+        name = m[2].lower()
+        mark = "/" if m[1] else "." if attributes.endswith("/") else "<"
+        at = text = end
+        if mark != "/" and name in _ENDS:
+            close = None if name in missing else _ENDS[name].search(page, at)
+            if close is None:
+                missing.add(name)
+                if name in ENDLESS and mark == "<":
+                    return out
+            elif name in RAW:
+                end = page.find(">", close.end())
+                if end < 0:
+                    return out
+                at = text = end + 1
+                continue
+            else:  # a title's text holds no tags either
+                out += [(mark, name, attributes), ("", page[at : close.start()], "")]
+                at = text = close.start()
+                continue
+        out.append((mark, name, attributes))
+    if text < len(page):
+        out.append(("", page[text:], ""))
+    return out
+
+
+def shown(page: str) -> list[tuple[str, str, str]]:
+    """The tokens without elements of CLOSED that are closed. An end that closes an outer element ends what
+    is open within it, so that an element that was never closed takes nothing along."""
+    read = tokens(page)
+    if not any(name in CLOSED for mark, name, _ in read if mark):
+        return read
+    gone = np.zeros(len(read) + 1, dtype=np.int64)
+    count: dict[str, int] = {}
+    stack: list[tuple[str, int]] = []
+    for i, (mark, name, _) in enumerate(read):
+        if mark == "<" and name not in VOID:
+            stack.append((name, i))
+            count[name] = count.get(name, 0) + 1
+        elif mark == "/" and count.get(name):
+            while True:
+                last, start = stack.pop()
+                count[last] -= 1
+                if last == name:
+                    break
+            if name in CLOSED:
+                gone[start] += 1
+                gone[i + 1] -= 1
+    return [x for x, n in zip(read, np.cumsum(gone)) if not n]
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path words, text, code points in links) of each leaf block of a page, in order."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    count: dict[str, int] = {}
     parts: list[str] = []
     links = linked = 0
-    at = 0
 
     def end() -> None:
         nonlocal linked
@@ -83,52 +194,48 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             parts.clear()
             linked = 0
 
-    for m in _TOKENS.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    def close(i: int) -> None:
+        for name, _ in stack[i:]:
+            count[name] -= 1
+        del stack[i:]
+
+    for mark, name, attributes in shown(page):
+        if not mark:
+            parts.append(name)
             if links:
-                linked += m.start() - at
-        at = m.end()
-        name = m.group(4)
-        if name is None:
+                linked += len(name)
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "a":
-                links = max(0, links - 1) if m.group(3) else 1
+                links = max(0, links - 1) if mark == "/" else 1
             elif name == "br":
                 parts.append("\n")
             continue
         end()
-        if m.group(3):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if mark == "/":
+            if count.get(name):
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             links = 0
             continue
         if name in VOID:
             continue
         closed = CLOSES.get(name)
-        if closed:
-            for i in range(len(stack) - 1, -1, -1):
+        if closed and any(count.get(x) for x in closed):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 1 - MOST_OPEN), -1):
                 if stack[i][0] in closed:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in HOLDS:
                     break
         words = [name]
-        attributes = m.group(5)
-        if attributes and "=" in attributes:
+        if "=" in attributes:
             for a in _NAMES.finditer(attributes):
                 words += [f"{name}.{w}" for w in re.split(r"[\s_\-]+", (a[1] or a[2] or a[3] or "").lower()) if w]
                 words += [f".{w[len(name) + 1:]}" for w in words[1:] if w.startswith(name + ".")]
         before = stack[-1][1] if stack else ()
-        stack.append((name, before + tuple(w for w in words if w not in before)))
-    if at < len(page):
-        parts.append(page[at:])
-        if links:
-            linked += len(page) - at
+        room = MOST_WORDS - len(before)
+        stack.append((name, before + tuple([w for w in words if w not in before][:room])))
+        count[name] = count.get(name, 0) + 1
     end()
     return out
 

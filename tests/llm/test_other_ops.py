@@ -216,6 +216,37 @@ def test_blocks_after_tags_without_content():
     assert text("<p>a<svg><text>s</text></svg><button\nid='>'>b</button ><noscript>n</noscript>c<style>d") == ["ac"]
 
 
+def test_blocks_of_tags_in_bad_form():
+    text = lambda page: [b[1] for b in html.blocks(page)]
+    for tag in (
+        "<p title=it's>", '<p title="a > b">', "<p title='<'>", '<p title="x>', "<p a=\"b\"c='d'>", "<p/ x>", "<p =x>", "<P\nID = q>",
+        "<p <b>", "<p\t>", "<p data-x=a=b>",
+    ):
+        got = text(f"<div>one{tag}two</div><div>three</div>")
+        assert got == ["one", "two", "three"], (tag, got)
+    for tag in ("<svg width=1 />", "<iframe src=x />", "<noscript>", "<template>", "<textarea>", "</>", "</ x>", "<?x y?>", "<!x>"):
+        assert " ".join(text(f"<p>one{tag}two</p><p>three</p>")).replace(" ", "") == "onetwothree", tag
+    assert text("<p>a<iframe><p>b</iframe>c<textarea><b>d</textarea>e<template><p>f</template>g</p>") == ["aceg"]
+    assert text("<nav><button>Menu</nav><p>text<b>s</b></p>") == ["Menu", "texts"]
+    assert text("<title>a <b> c</title><p>d") == ["a <b> c", "d"]
+    assert text("a <1> b <é> c < d <p>e <a href='x") == ["a <1> b <é> c < d", "e"]
+    assert text("<script src=x /><p>a") == ["a"] and text("<p>a<script>b") == ["a"] and text("<p>a<!-- b <p>c") == ["a"]
+
+
+def test_blocks_take_linear_time():
+    import time
+
+    for part in ("<a '", '<a x="', "<button>", "<h1><li>", "</p><div>", "<!--", "<textarea>", "<p title=", "<i class=a{}>", "<div class=a{}>"):
+        def took(n):
+            page = "".join(part.replace("{}", str(i)) for i in range(n))
+            began = time.process_time()
+            html.blocks(page)
+            return time.process_time() - began
+
+        took(100)
+        assert took(40_000) < 40 * max(took(4_000), 0.02), part
+
+
 def test_labeller_on_held_out_pages():
     pages, labels = html.generated(300, seed=1234)
     found = html.trained().label(pages)
