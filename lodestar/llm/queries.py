@@ -87,10 +87,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .repeats import removal_digests
+    from .repeats import PASSAGE, removal_digests
 
     bounded_batches(spark)
-    return removal_digests(table(spark, sf_dir, "documents"), keep="none")
+    return removal_digests(table(spark, sf_dir, "documents"), keep="none", passage=PASSAGE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

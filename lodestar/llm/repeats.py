@@ -18,7 +18,9 @@ bytes long, and only segments whose anchor occurs again go on:
    the shard of that core. There too equal surroundings are counted, and only where different ones
    share a core are the windows of one of each compared, by count.
 
-keep="first" removes later copies and keeps the first by (doc_id, place); keep="none" removes all.
+keep="first" removes later copies and keeps the first by (doc_id, place); keep="none" removes all. A span
+tells whether it holds later copies, so one search serves both. Strings of `length` bytes that repeat lie
+within the repeated passages of any smaller length, so a second search for longer ones reads those alone.
 
 Cases: null and empty texts have no windows and stay; texts below `length` bytes stay; rows that agree
 in doc_id and text count as documents of their own with keep="none" and share one fate with "first";
@@ -28,6 +30,7 @@ bytes may cut a character of several bytes; the digests are over bytes, and text
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,6 +44,8 @@ from .common import cut, drop_path
 
 #: Bytes of a gram.
 GRAM = 64
+#: Bytes of a passage that the pipeline removes: less than any 51 words of prose.
+PASSAGE = 220
 #: Different segments that share a shard, at most.
 MOST = 512
 #: Offsets that share a core.
@@ -145,11 +150,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+PLACE = "lo:int,hi:int,later:boolean"
 OCCURRENCES = "anchor long, cover long, _key long, _hash int, lo int, n int, off int"
 
 
-def occurrences(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row per segment of each document."""
+def occurrences(keyed: DataFrame, length: int, gram: int, within: DataFrame | None = None) -> DataFrame:
+    """A row per segment of each document, or of those parts of it that the spans of `within` cover."""
+    rows = keyed.select("_key", "_hash", "text", F.lit(None).cast(f"array<struct<{PLACE}>>").alias("_spans"))
+    if within is not None:
+        rows = rows.drop("_spans").join(within, ["_key", "_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -172,22 +181,24 @@ def occurrences(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             )
 
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("_key", "_hash", "text")))
-            for key, hashed, text in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("_key", "_hash", "text", "_spans")))
+            for key, hashed, text, spans in rows:
                 data = (text or "").encode()
-                if len(data) < length:
-                    continue
-                for at, part in _slices(data, length):
-                    held.append((key, hashed, at, part))
-                    size += len(part)
-                    if size >= CHUNK:
-                        yield flush()
-                        held.clear()
-                        size = 0
+                parts = [(0, len(data))] if spans is None else merged([(x["lo"], x["hi"]) for x in spans])
+                for lo, hi in parts:
+                    if hi - lo < length:
+                        continue
+                    for at, part in _slices(data[lo:hi], length):
+                        held.append((key, hashed, lo + at, part))
+                        size += len(part)
+                        if size >= CHUNK:
+                            yield flush()
+                            held.clear()
+                            size = 0
         if held:
             yield flush()
 
-    return keyed.select("_key", "_hash", "text").mapInArrow(run, OCCURRENCES)
+    return rows.select("_key", "_hash", "text", "_spans").mapInArrow(run, OCCURRENCES)
 
 
 def window_runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -273,7 +284,7 @@ def _spans(lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], lo[np.r_[first[1:], True]] + length
 
 
-SPANS = "_key long, _hash int, lo int, hi int"
+SPANS = "_key long, _hash int, lo int, hi int, later boolean"
 
 
 def _shard_spans(rows: DataFrame, length: int, keep: str) -> DataFrame:
@@ -285,25 +296,23 @@ def _shard_spans(rows: DataFrame, length: int, keep: str) -> DataFrame:
 
         def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             own, at, runs = window_runs([x[5] for x in rows], length)
-            if keep == "first":
-                hit = np.r_[False, runs[1:] == runs[:-1]]
-            else:
-                same = np.r_[False, runs[1:] == runs[:-1]]
-                hit = same | np.r_[same[1:], False]
-            hit &= np.asarray([x[4] for x in rows])[own]
-            own, at = own[hit], at[hit]
-            order = np.lexsort((at, own))
-            own, at = own[order], at[order]
-            out: list[tuple[int, int, int, int]] = []
-            for k in np.split(np.arange(len(own)), np.flatnonzero(own[1:] != own[:-1]) + 1):
+            later = np.r_[False, runs[1:] == runs[:-1]]
+            hit = later if keep == "first" else later | np.r_[later[1:], False]
+            hit = hit & np.asarray([x[4] for x in rows])[own]
+            own, at, later = own[hit], at[hit], later[hit]
+            order = np.lexsort((at, own, later))
+            own, at, later = own[order], at[order], later[order]
+            out: list[tuple] = []
+            parts = np.flatnonzero((own[1:] != own[:-1]) | (later[1:] != later[:-1])) + 1
+            for k in np.split(np.arange(len(own)), parts):
                 if len(k):
                     x = rows[own[k[0]]]
                     for i, j in zip(*_spans(at[k], length)):
-                        out.append((x[1], x[2], x[3] + int(i), x[3] + int(j)))
+                        out.append((x[1], x[2], x[3] + int(i), x[3] + int(j), bool(later[k[0]])))
             if out:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))],
-                    names=["_key", "_hash", "lo", "hi"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), types)], names=["_key", "_hash", "lo", "hi", "later"]
                 )
 
         for batch in batches:
@@ -333,21 +342,33 @@ def _core_spans(cores: DataFrame, length: int, keep: str) -> DataFrame:
     each = cores.groupBy("core", "cover").agg(F.count("*").alias("m"), F.min(place).alias("p0"))
     each, _ = cut(each, "cores")
     again = each.where("m > 1").select("core", "cover", "p0")
-    copies = cores.join(again, ["core", "cover"])
-    if keep == "first":
-        copies = copies.where(F.struct("_key", "_hash", "lo") != F.struct("p0._key", "p0._hash", "p0.lo"))
-    copies = copies.select("_key", "_hash", "lo", (F.col("lo") + F.size("windows") + (length - 1)).alias("hi"))
+    here = F.struct("_key", "_hash", "lo")
+    copies = cores.join(again, ["core", "cover"]).select(
+        "_key",
+        "_hash",
+        "lo",
+        (F.col("lo") + F.size("windows") + (length - 1)).alias("hi"),
+        (here != F.struct("p0._key", "p0._hash", "p0.lo")).alias("later"),
+    )
     several, _ = cut(each.groupBy("core").agg(F.count("*").alias("covers")).where("covers > 1").select("core"), "several")
     single = each.join(several, "core", "left_semi").select(
         "core", "m", "p0._key", "p0._hash", "p0.lo", F.posexplode("p0.windows").alias("i", "window")
     )
     single = single.select("core", "window", "m", "_key", "_hash", (F.col("lo") + F.col("i")).alias("lo"))
-    here = F.struct("_key", "_hash", "lo")
     found = single.groupBy("core", "window").agg(F.count("*").alias("n"), F.min(here).alias("first")).where("n > 1")
     found, _ = cut(found, "windows")
     found = single.join(found, ["core", "window"])
-    found = found.where(here != F.col("first")) if keep == "first" else found.where("m = 1")
-    return copies.unionByName(found.select("_key", "_hash", "lo", (F.col("lo") + length).alias("hi")))
+    found = found.where("m = 1") if keep == "none" else found
+    later = (here != F.col("first")).alias("later")
+    found = found.select("_key", "_hash", "lo", (F.col("lo") + length).alias("hi"), later)
+    return _united([copies, found], keep)
+
+
+def _united(found: list[DataFrame], keep: str) -> DataFrame:
+    """The spans that `keep` asks for. Each part is a table of its own, so that adaptive execution can split
+    its hot keys whatever stands beside it."""
+    parts = [cut(x.where("later") if keep == "first" else x, "spans")[0] for x in found]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -405,11 +426,16 @@ def _texts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     )
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", gram: int = GRAM) -> DataFrame:
-    """(_key, _hash, lo, hi): byte spans to remove, as yet not merged."""
+def repeated_spans(
+    docs: DataFrame, length: int = 400, keep: str = "first", gram: int | None = None, within: DataFrame | None = None
+) -> DataFrame:
+    """(_key, _hash, lo, hi, later): byte spans that repeat, as yet not merged. keep="first" gives those of later
+    copies; "none" all, where only their union counts; "both" all, where each window is told first or later.
+    within(_key, _hash, _spans) bounds what is searched; all copies of what it holds must lie in it."""
     spark = docs.sparkSession
     keyed = _keyed(docs)
-    all_of, path = cut(occurrences(keyed, length, gram), "segments")
+    gram = gram or min(GRAM, length // 4)
+    all_of, path = cut(occurrences(keyed, length, gram, within), "segments")
     groups = (
         all_of.groupBy("anchor")
         .agg(F.count("*").alias("m"), F.min("cover").alias("c0"), F.max("cover").alias("c1"))
@@ -425,18 +451,20 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", gram
     each = some.groupBy("anchor", "cover", "several").agg(F.count("*").alias("m"), F.min(place).alias("p0"))
     each, each_path = cut(each, "covers")
     again = each.where("m > 1").select("anchor", "cover", "p0")
-    copies = some.join(again, ["anchor", "cover"])
-    if keep == "first":
-        first = F.struct("p0._key", "p0._hash", "p0.lo")
-        copies = copies.where(F.struct("_key", "_hash", "lo") != first)
-    copies = copies.select("_key", "_hash", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
+    copies = some.join(again, ["anchor", "cover"]).select(
+        "_key",
+        "_hash",
+        "lo",
+        (F.col("lo") + F.col("n") + (length - 1)).alias("hi"),
+        (F.struct("_key", "_hash", "lo") != F.struct("p0._key", "p0._hash", "p0.lo")).alias("later"),
+    )
     several = each.where("several")
     crowd = several.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > MOST)
     crowd, _ = cut(crowd.select("anchor", F.lit(True).alias("crowded")), "crowded")
     wanted = several.join(crowd, "anchor", "left").select(
         "anchor",
         "p0.*",
-        (F.lit(keep == "first") | (F.col("m") == 1)).alias("want"),
+        (F.lit(keep != "none") | (F.col("m") == 1)).alias("want"),
         F.coalesce("crowded", F.lit(False)).alias("crowded"),
     )
     texts, texts_path = cut(_texts(keyed, wanted, length), "texts")
@@ -444,8 +472,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, keep: str = "first", gram
     cores = texts.where("windows IS NOT NULL").select(
         F.col("anchor").alias("core"), "cover", "_key", "_hash", "lo", "windows"
     )
-    found = copies.unionByName(shards).unionByName(_core_spans(cores, length, keep))
-    spans, _ = cut(found, "spans")
+    spans = _united([copies, shards], keep).unionByName(_core_spans(cores, length, keep))
     for p in (some_path, each_path, texts_path):
         drop_path(spark, p)
     return spans
@@ -461,10 +488,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _with_spans(docs: DataFrame, length: int, keep: str) -> DataFrame:
-    spans = repeated_spans(docs, length, keep)
-    listed = spans.groupBy("_key", "_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    return _keyed(docs).join(listed, ["_key", "_hash"], "left").select("doc", F.col("doc.text").alias("text"), "_spans")
+def _listed(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("_key", "_hash").agg(F.collect_list(F.struct("lo", "hi", "later")).alias("_spans"))
+
+
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    rows = _keyed(docs).join(_listed(spans), ["_key", "_hash"], "left")
+    return rows.select("doc", F.col("doc.text").alias("text"), "_spans")
 
 
 def _kept(text: str | None, spans: list | None) -> tuple[bytes, list[tuple[int, int]], int]:
@@ -478,27 +508,46 @@ def _kept(text: str | None, spans: list | None) -> tuple[bytes, list[tuple[int,
     return b"".join(parts), runs, len(data)
 
 
-def removal_digests(docs: DataFrame, length: int = 400, keep: str = "none") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): a row per row of docs."""
+def removal_digests(docs: DataFrame, length: int = 400, keep: str = "none", passage: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): a row per row of docs.
+
+    With `passage`, at most `length`: also the text without later copies of passages of so many bytes, as
+    remove_repeats() gives it. The search for `length` then reads what that for `passage` has found.
+    """
+    if passage is None:
+        spans = repeated_spans(docs, length, keep)
+    elif passage > length:
+        raise ValueError("passages are no longer than `length`")
+    else:
+        shorter = repeated_spans(docs, passage, "both")
+        wide = shorter.groupBy("_key", "_hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        wide = wide.where(F.col("hi") - F.col("lo") >= length).select("_key", "_hash")
+        within, _ = cut(_listed(shorter.join(wide, ["_key", "_hash"], "left_semi")), "within")
+        # `later` now tells the passages' spans from the others.
+        spans = repeated_spans(docs, length, keep, within=within).withColumn("later", F.lit(False))
+        spans = spans.unionByName(shorter.where("later"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                _kept(text, spans)
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist())
-            ]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_bytes": pa.array([n for _, _, n in rows], pa.int64()),
-                    "n_removed": pa.array([n - len(k) for k, _, n in rows], pa.int64()),
-                    "n_spans": pa.array([len(r) for _, r, _ in rows], pa.int64()),
-                    "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in rows], pa.string()),
-                }
-            )
-
-    return _with_spans(docs, length, keep).select("doc.doc_id", "text", "_spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+            rows, texts = [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist()):
+                spans = spans or []
+                rows.append(_kept(text, spans if passage is None else [x for x in spans if not x["later"]]))
+                if passage is not None:
+                    later = [x for x in spans if x["later"]]
+                    texts.append(_kept(text, later)[0].decode("utf-8", "ignore") if later else text)
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_bytes": pa.array([n for _, _, n in rows], pa.int64()),
+                "n_removed": pa.array([n - len(k) for k, _, n in rows], pa.int64()),
+                "n_spans": pa.array([len(r) for _, r, _ in rows], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k, _, _ in rows], pa.string()),
+            }
+            yield pa.RecordBatch.from_pydict(columns | ({} if passage is None else {"text": pa.array(texts, pa.string())}))
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return _with_spans(docs, spans).select("doc.doc_id", "text", "_spans").mapInArrow(
+        run, schema + ("" if passage is None else ", text string")
     )
 
 
@@ -517,7 +566,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
             dtype=object,
         )
 
-    out = _with_spans(docs, length, keep)
+    out = _with_spans(docs, repeated_spans(docs, length, keep))
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans")).alias("text")
     out = out.select(*(text if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
     if "n_chars" in docs.columns:
