@@ -1,17 +1,22 @@
 """Secret scans (operator 1): fixed patterns and a randomness test battery. DataFrame functions only.
 
 Base spans are the matches of three fixed patterns. The method adds tokens of TOKEN that look drawn at
-random. For each, the smallest encoding that holds it is inferred (decimal, hex, base32, base64), and
-three tests ask whether its symbols are uniform and independent: chi-squared over the alphabet (by the
-Wilson-Hilferty cube root), runs above and below the alphabet's middle, and lag-one serial correlation.
-A token that fails one at the CRITICAL value, Bonferroni-corrected for three tests, isn't random.
-
-Passing is not enough, as short tokens pass easily. A token counts as found only if it rejects the null
-of structured text, in which at most one in four neighbours change between small letters, capitals,
-digits and the rest: the p-value is the exact binomial tail. Benjamini-Hochberg at level FDR runs per
-length class (by powers of two) over all tokens of the corpus: per class and step of a tenth of a
-decade the tokens are counted, which gives a table of bounded size, and the largest p-value that
-holds is the class's cutoff, rounded to the strict side.
+random. For each, the smallest encoding that holds it is inferred, and three tests ask whether its
+symbols are uniform and independent: chi-squared over the alphabet (by the Wilson-Hilferty cube root),
+runs above and below the alphabet's middle, and lag-one serial correlation. A token that fails one at the
+CRITICAL value, Bonferroni-corrected for three tests, isn't random.
+
+Passing is not enough, as short tokens pass easily. A token counts as found only if it also rejects its
+encoding's null of structured text (NULLS), by the same statistics: chi-squared, which is the number of
+equal pairs of symbols, against symbols that repeat as those of words and numbers do; and runs, which is
+the number of changes between small letters, capitals, digits and the rest (between halves of the
+alphabet for digits alone, and none for letters of one case), against text that seldom changes. Each gives
+an exact binomial tail, and Fisher's method one p-value of both. Serial correlation has no such null, as
+structured text may have none, and only vetoes.
+
+Benjamini-Hochberg at level FDR runs per encoding and length class (by powers of two) over all tokens of
+the corpus: per class and step of a tenth of a decade the tokens are counted, which gives a table of
+bounded size, and the largest p-value that holds is the class's cutoff, rounded to the strict side.
 
 Cases: a null text is empty; texts without matches have no spans; repeated rows give equal rows; an
 empty table gives none; ids may be null; other columns are ignored by scan() and kept by redact().
@@ -40,16 +45,22 @@ KINDS = ("assign", "access", "hex", "random")
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 #: Two-sided normal value of 0.01 / 3.
 CRITICAL = 2.935
-#: Rate of class changes in structured text, at most, and the level of false discoveries.
-CHANGES, FDR = 0.25, 0.01
-#: Alphabets by size (fixed values).
+#: Level of false discoveries.
+FDR = 0.05
+#: Alphabets by size (fixed values), as patterns of their tokens and in order of their symbols. Hex, letters and
+#: base36 come in either case.
 ALPHABETS = {
-    10: "0123456789",
-    16: "0123456789abcdef",
-    32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    10: ("^[0-9]+$", "0123456789"),
+    16: ("^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
+    26: ("^([a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz"),
+    32: ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    36: ("^([a-z0-9]+|[A-Z0-9]+)$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    64: ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 }
-LOWEST_CLASS, HIGHEST_CLASS, STEPS = 4, 16, 400
+#: Structured text of each encoding: the chance that two symbols are equal, at least, and that neighbours change,
+#: at most (random ones: 1 / size, and 0.5, 0.47, -, 0.3, 0.4 and 0.6).
+NULLS = {10: (0.15, 0.25), 16: (0.1, 0.2), 26: (0.055, 0.0), 32: (0.06, 0.12), 36: (0.055, 0.15), 64: (0.045, 0.25)}
+HIGHEST_CLASS, STEPS = 16, 400
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,61 +105,83 @@ def _next(a: Column, f: Callable[[Column, Column], Column]) -> Column:
     return F.zip_with(F.slice(a, 1, n), F.slice(a, 2, n), f)
 
 
-def _uniform(size: Column, x: Column) -> Column:
-    """Whether the indices x over an alphabet of `size` pass the battery."""
+def _of_size(size: Column, values: dict[int, object]) -> Column:
+    out = F.lit(values[64])
+    for n in sorted(values, reverse=True)[1:]:
+        out = F.when(size == n, F.lit(values[n])).otherwise(out)
+    return out
+
+
+def _battery(size: Column, x: Column) -> Column:
+    """For the indices x over an alphabet of `size`: whether they pass, their equal pairs, and the changes
+    between the halves of the alphabet."""
     n = F.size(x).cast("double")
     df = size - 1.0
-    square = F.transform(F.array_distinct(x), lambda d: F.pow(F.size(F.filter(x, lambda y: y == d)).cast("double"), 2))
-    chi = (F.pow((_total(square) * size / n - n) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    square = _total(
+        F.transform(F.array_distinct(x), lambda d: F.pow(F.size(F.filter(x, lambda y: y == d)).cast("double"), 2))
+    )
     high = _total(F.transform(x, lambda y: F.when(2 * y >= size, 1.0).otherwise(0.0)))
     changes = _total(_next(x, lambda a, b: F.when((2 * a >= size) != (2 * b >= size), 1.0).otherwise(0.0)))
+    mean = _total(F.transform(x, lambda a: a.cast("double"))) / n
 
-    def runs(h: Column) -> Column:
-        both = 2 * h * (n - h)
+    def judged(v: Column) -> Column:
+        chi = (F.pow((v["square"] * size / n - n) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        both = 2 * v["high"] * (n - v["high"])
         spread = both * (both - n) / (n * n * (n - 1))
-        return F.when(spread > 0, F.abs(changes - both / n) / F.sqrt(spread)).otherwise(math.inf)
+        runs = F.when(spread > 0, F.abs(v["changes"] - both / n) / F.sqrt(spread)).otherwise(math.inf)
+        over = _total(_next(x, lambda a, b: (a - v["mean"]) * (b - v["mean"])))
+        under = _total(F.transform(x, lambda a: (a - v["mean"]) * (a - v["mean"])))
+        serial = F.when(under > 0, F.abs(over / under) * F.sqrt(n)).otherwise(math.inf)
+        return F.struct(
+            ((chi <= CRITICAL) & (runs <= CRITICAL) & (serial <= CRITICAL)).alias("ok"),
+            ((v["square"] - n) / 2).alias("equal"),
+            v["changes"].alias("changes"),
+        )
 
-    def serial(mean: Column) -> Column:
-        over = _total(_next(x, lambda a, b: (a - mean) * (b - mean)))
-        under = _total(F.transform(x, lambda a: (a - mean) * (a - mean)))
-        return F.when(under > 0, F.abs(over / under) * F.sqrt(n)).otherwise(math.inf)
+    return let(F.struct(square.alias("square"), high.alias("high"), changes.alias("changes"), mean.alias("mean")), judged)
 
-    mean = _total(F.transform(x, lambda a: a.cast("double"))) / n
-    return (chi <= CRITICAL) & (let(high, runs) <= CRITICAL) & (let(mean, serial) <= CRITICAL)
+
+def _structured(size: Column, n: Column, equal: Column, changed: Column) -> Column:
+    """The p-value of the null of structured text: Fisher's of pairs and changes, or that of pairs alone."""
+    rate = _of_size(size, {k: v[1] for k, v in NULLS.items()})
+    pairs = binomial_tail(equal, n * (n - 1) / 2, _of_size(size, {k: v[0] for k, v in NULLS.items()}))
+    turns = binomial_tail(n - 1 - changed, n - 1, 1 - rate)
+    both = let(F.greatest(pairs * turns, F.lit(1e-60)), lambda x: x * (1 - F.log(x)))
+    return F.when(size == 26, pairs).otherwise(both)
 
 
 def _tested(m: Column) -> Column:
-    """Candidate with its length class, its score (minus ten times the p-value's logarithm) and verdict."""
+    """Candidate with its class, its score (minus ten times the p-value's logarithm) and verdict."""
     text = m["x"]
-    chars = F.split(F.regexp_replace(F.regexp_replace(text, "-", "+"), "_", "/"), "")
-    size = (
-        F.when(text.rlike("^[0-9]+$"), 10)
-        .when(text.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16)
-        .when(text.rlike("^[A-Z2-7]+$"), 32)
-        .otherwise(64)
-    )
+    chars = F.split(F.translate(text, "-_", "+/"), "")
+    size = F.lit(64)
+    for n, (pattern, _) in reversed(ALPHABETS.items()):
+        size = F.when(text.rlike(pattern), n).otherwise(size) if pattern else size
 
-    def index(size: Column, chars: Column) -> Column:
-        where = F.lit(ALPHABETS[64])
-        for n in (32, 16, 10):
-            where = F.when(size == n, ALPHABETS[n]).otherwise(where)
-        return F.transform(
-            chars, lambda c: F.instr(where, F.when(size == 16, F.lower(c)).otherwise(c)).cast("int") - 1
-        )
+    def index(a: Column, cs: Column) -> Column:
+        where = _of_size(a, {n: x for n, (_, x) in ALPHABETS.items()})
+        folded = a.isin(16, 26, 36)
+        return F.transform(cs, lambda c: F.instr(where, F.when(folded, F.lower(c)).otherwise(c)).cast("int") - 1)
 
     def sort(c: Column) -> Column:
         return F.when(c.rlike("[a-z]"), 0).when(c.rlike("[A-Z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(3)
 
-    changed = _total(_next(F.transform(chars, sort), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)))
-    pairs = F.length(text) - 1
-    p = let(changed, lambda c: binomial_tail(pairs - c, pairs, 1 - CHANGES))
-    score = F.least(F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-40)))), F.lit(STEPS))
-    passes = let(
-        size, lambda a: let(chars, lambda cs: let(index(a, cs), lambda x: _uniform(a.cast("double"), x)))
-    )
-    group = F.least(F.floor(F.log2(F.length(text).cast("double"))), F.lit(HIGHEST_CLASS))
-    return F.struct(
-        m["s"].alias("s"), m["e"].alias("e"), group.cast("int").alias("group"), score.cast("int").alias("score"), passes.alias("ok")
+    def verdict(a: Column, cs: Column, b: Column) -> Column:
+        classes = _total(_next(F.transform(cs, sort), lambda x, y: F.when(x != y, 1.0).otherwise(0.0)))
+        changed = F.when(a == 10, b["changes"]).otherwise(classes)
+        p = let(changed, lambda c: _structured(a, F.size(cs).cast("double"), b["equal"], c))
+        score = F.least(F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-40)))), F.lit(STEPS))
+        group = 32 * a + F.least(F.floor(F.log2(F.length(text).cast("double"))), F.lit(HIGHEST_CLASS))
+        return F.struct(
+            m["s"].alias("s"), m["e"].alias("e"), group.cast("int").alias("group"), score.cast("int").alias("score"),
+            b["ok"].alias("ok"),
+        )
+
+    return let(
+        size,
+        lambda a: let(
+            chars, lambda cs: let(let(index(a, cs), lambda x: _battery(a.cast("double"), x)), lambda b: verdict(a, cs, b))
+        ),
     )
 
 
@@ -173,7 +206,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def limits(rows: DataFrame) -> DataFrame:
-    """(group, least): the lowest score that is a discovery in each length class; rows(tokens)."""
+    """(group, least): the lowest score that is a discovery in each class; rows(tokens)."""
     counts = (
         rows.select(F.explode("tokens").alias("x")).groupBy("x.group", "x.score").agg(F.count("*").alias("n"))
     )
@@ -185,17 +218,13 @@ def limits(rows: DataFrame) -> DataFrame:
 
 
 def _found(chosen: DataFrame) -> Column:
-    """The discoveries as spans. The chosen limits are a bounded table: a row per length class."""
-    least = F.lit(None).cast("int")
+    """The discoveries as spans. The chosen limits are a bounded table: a row per class."""
     rows = chosen.collect()
-
-    def real(x: Column) -> Column:
-        limit = least
-        for group, score in rows:
-            limit = F.when(x["group"] == group, score).otherwise(limit)
-        return x["ok"] & F.coalesce(x["score"] >= limit, F.lit(False))
-
-    return _of_kind(F.filter("tokens", real), 3)
+    if not rows:
+        return F.array().cast("array<struct<s:int,k:int,e:int>>")
+    least = F.create_map(*(F.lit(x) for row in rows for x in (row["group"], row["least"])))
+    real = F.filter("tokens", lambda x: x["ok"] & F.coalesce(x["score"] >= least[x["group"]], F.lit(False)))
+    return _of_kind(real, 3)
 
 
 def _written(a: str) -> Column:
