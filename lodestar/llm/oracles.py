@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import DELTA, GRID, MAX_REPEAT_PERCENT, MIN_WORDS, RISK, STRATA, WINDOW
+from .quality import DELTA, GRID, MAX_REPEAT_PERCENT, MIN_WORDS, PATH, RISK, STRATA, WINDOW, least_labels
 
 WARC = """
 SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
@@ -32,9 +32,10 @@ _RATES = {
     "line_rate": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
 }
-_TESTS = sum(map(len, GRID.values())) * (len(STRATA) + 1)
-_P = RISK / len(GRID)
-_CELLS = ", ".join(f"('{rule}', CAST({c} AS DOUBLE))" for rule, grid in GRID.items() for c in grid)
+_LEVEL = DELTA / (len(STRATA) + 1)
+_STEPS = ", ".join(f"({i + 1}, {', '.join(f'CAST({c!r} AS DOUBLE)' for c in step)})" for i, step in enumerate(PATH))
+_RULES = ", ".join(f"c_{rule}" for rule in GRID)
+_REJECTED = " OR ".join(f"{rule} > c_{rule}" for rule in GRID)
 _STRATA = ", ".join(f"'{s}'" for s in STRATA)
 QUALITY = f"""
 WITH d AS (
@@ -62,18 +63,19 @@ b AS (
          {", ".join(f"{x} AS {k}" for k, x in _RATES.items())} FROM m),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 held AS (SELECT b.* FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)),
-cells AS (SELECT * FROM (VALUES {_CELLS}) AS v(rule, cutoff)),
+steps AS (SELECT * FROM (VALUES {_STEPS}) AS v(step, {_RULES})),
+sizes AS (SELECT stratum, count(*) AS n FROM held GROUP BY stratum),
+strata AS (SELECT stratum, CASE WHEN n >= {least_labels(RISK, DELTA)} THEN stratum ELSE 'together' END AS grp FROM sizes),
 counts AS (
-  SELECT stratum, rule, cutoff, count(*) AS n,
-         count(*) FILTER (WHERE CASE rule {" ".join(f"WHEN '{k}' THEN {k}" for k in _RATES)} END > cutoff) AS k
-  FROM held, cells GROUP BY stratum, rule, cutoff),
+  SELECT grp, step, count(*) AS n, count(*) FILTER (WHERE {_REJECTED}) AS k
+  FROM held JOIN strata ON held.stratum = strata.stratum, steps GROUP BY grp, step),
+failed AS (
+  SELECT grp, min(CASE WHEN k < n * {RISK!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1)
+         - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK!r}) + (n - i) * ln(1 - {RISK!r})))) <= {_LEVEL!r}
+         THEN {len(PATH) + 1} ELSE step END) AS f FROM counts GROUP BY grp),
 chosen AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM counts
-  WHERE k < n * {_P!r} AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1)
-        - lgamma(n - i + 1) + i * ln({_P!r}) + (n - i) * ln(1 - {_P!r})))) <= {DELTA / _TESTS!r}
-  GROUP BY stratum, rule)
+  SELECT strata.stratum, {_RULES} FROM strata JOIN failed ON strata.grp = failed.grp JOIN steps ON step = f - 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT EXISTS (
-         SELECT 1 FROM chosen WHERE chosen.stratum = b.stratum
-         AND CASE rule {" ".join(f"WHEN '{k}' THEN {k}" for k in _RATES)} END > cutoff) AS kept
+         SELECT 1 FROM chosen WHERE chosen.stratum = b.stratum AND ({_REJECTED})) AS kept
 FROM b"""

@@ -3,13 +3,17 @@
 Every document is measured in whole by array functions where it is read; nothing is exploded. Base
 rules reject texts below 20 words and texts of which over 30 % of the words lie in repeated 8-word
 windows. Further rules compare a rate (symbols per word, repeated lines, words in repeated windows)
-with a cutoff of the document's stratum. Cutoffs are learnt on the labelled documents, as a holdout:
-of a fixed grid, the strictest cutoff counts for which the exact binomial test shows, at `delta`
-divided by the number of all tests, that it rejects at most `risk` / number of rules of a stratum's
-good documents. By the Bonferroni inequality all cutoffs keep their promise at once with probability
-1 - delta or more. A stratum with too few labels gets no cutoff, so that nothing more is rejected.
-
-The grid and the strata are fixed, so the table of counts has some 100 rows at any size of input.
+with a cutoff of the document's stratum. Cutoffs are learnt on the labelled documents, as a holdout,
+along a fixed path: all rules start off, and each step makes one of them one notch stricter. In each
+stratum the steps are tested in this order, and the path ends before the first at which the exact
+binomial test doesn't show that its cutoffs together reject at most `risk` of the stratum's good
+documents. A fixed sequence needs no correction within a stratum, as only the first true null can be
+rejected in error; over the strata `delta` is divided by their number. So all promises hold at once with
+probability 1 - delta or more. Strata with fewer labels than a first step needs even without a rejected
+document are one stratum together, whose promise is about them together: that choice looks at their
+numbers of labels only. If these too are few, nothing more is rejected there, nor where no label is.
+
+The path and the strata are fixed, so the table of counts has some 100 cells at any size of input.
 
 Cases: a null text counts as empty and fails the base rules; a null or unlisted lang is in the stratum
 "other"; labels without a document, null labels and null ids are ignored; a document is good if all
@@ -21,7 +25,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_path
@@ -29,12 +33,20 @@ from .common import cut, drop_path
 #: Base rules (fixed values of the contract).
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 STRATA = ("en", "de", "fr", "es")
-#: Cutoffs of each rate, strictest first; a rate above its cutoff rejects.
+#: Cutoffs of each rate, loosest first; a rate above its cutoff rejects.
 GRID = {
-    "symbol_rate": (0.02, 0.05, 0.1, 0.2, 0.4, 0.8),
-    "line_rate": (0.1, 0.2, 0.3, 0.4, 0.5, 0.7),
-    "repeat_rate": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
+    "symbol_rate": (0.8, 0.4, 0.2, 0.1, 0.05, 0.02),
+    "line_rate": (0.7, 0.5, 0.4, 0.3, 0.2, 0.1),
+    "repeat_rate": (0.3, 0.25, 0.2, 0.15, 0.1, 0.05),
 }
+#: A cutoff that no rate exceeds.
+OFF = 1e9
+#: The cutoffs of each step, in the order of GRID's rules.
+PATH = [
+    tuple(grid[i] if j <= k else (grid[i - 1] if i else OFF) for j, grid in enumerate(GRID.values()))
+    for i in range(6)
+    for k in range(len(GRID))
+]
 RISK, DELTA = 0.02, 0.05
 WORD_GAP = r"[ \t-\r]+"
 
@@ -100,14 +112,18 @@ def _log_factorial(x: Column) -> Column:
     return F.when(x <= 20, small).otherwise(series)
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
+def binomial_tail(k: Column, n: Column, p: float | Column) -> Column:
     """P(X <= k) for X of n trials at p, where k < n * p; else 1. Summed from k down by the ratio of
-    neighbouring terms, which falls below any rounding within some 40 standard deviations."""
-    k, n = k.cast("long"), n.cast("long")
-    log_term = (
-        _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
-    )
-    terms = F.least(k, F.ceil(50 + 40 * F.sqrt(n * p)))
+    neighbouring terms, which falls below any rounding within some 40 standard deviations, or sooner if the
+    first ratio is small."""
+    given = F.struct(k.cast("long").alias("k"), n.cast("long").alias("n"), (p if isinstance(p, Column) else F.lit(p)).alias("p"))
+    return F.transform(F.array(given), lambda x: _binomial_tail(x["k"], x["n"], x["p"])).getItem(0)
+
+
+def _binomial_tail(k: Column, n: Column, p: Column) -> Column:
+    log_term = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(p) + (n - k) * F.log1p(-p)
+    ratio = k * (1 - p) / ((n - k + 1) * p)
+    terms = F.least(k, F.ceil(50 + 40 * F.sqrt(n * p)), F.when(ratio < 1, F.ceil(2 - 40 / F.log(ratio))).otherwise(0))
     state = F.struct(F.lit(1.0).alias("total"), F.lit(1.0).alias("term"))
 
     def add(a: Column, j: Column) -> Column:
@@ -120,35 +136,51 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_term) * total)
 
 
+def least_labels(risk: float, delta: float) -> int:
+    """Good documents that a stratum needs for a promise if none of them is rejected."""
+    return math.ceil(math.log(delta / (len(STRATA) + 1)) / math.log1p(-risk))
+
+
 def cutoffs(
     rows: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA
 ) -> DataFrame:
-    """(stratum, rule, cutoff): the strictest cutoff that holds; rows(doc_id, stratum, rates, base_failed)."""
+    """(stratum, step, rates' cutoffs): the last step of PATH that holds in each stratum that has one;
+    rows(doc_id, stratum, rates, base_failed), which should be a table, as measures aren't cheap."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
     held = rows.where("NOT base_failed").join(good.where("q = 1"), "doc_id", "left_semi")
-    tests = sum(map(len, GRID.values())) * (len(STRATA) + 1)
-    counts = [
-        F.count_if(F.col(rule) > c).alias(f"{rule}_{i}") for rule, grid in GRID.items() for i, c in enumerate(grid)
-    ]
+
+    def rejected(step: tuple[float, ...]) -> Column:
+        bad = F.lit(False)
+        for rule, cutoff in zip(GRID, step):
+            bad = bad | (F.col(rule) > cutoff)
+        return bad
+
+    counts = [F.count_if(rejected(step)).alias(f"k{i}") for i, step in enumerate(PATH)]
     counted = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    cells = F.array(
-        *(
-            F.struct(F.lit(rule).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{rule}_{i}").alias("k"))
-            for rule, grid in GRID.items()
-            for i, c in enumerate(grid)
-        )
+    own = F.when(F.col("n") >= least_labels(risk, delta), F.col("stratum")).otherwise("together")
+    group = Window.partitionBy(own)
+    pooled = counted.select(
+        "stratum",
+        F.sum("n").over(group).alias("n"),
+        F.array(*(F.sum(f"k{i}").over(group) for i in range(len(PATH)))).alias("ks"),
+    )
+    holds = F.transform("ks", lambda k: binomial_tail(k, F.col("n"), risk) <= delta / (len(STRATA) + 1))
+    first = F.array_position(holds, False)
+    step = F.when(first == 0, len(PATH)).otherwise(first - 1).cast("int")
+    values = F.array(*(F.array(*map(F.lit, step)) for step in PATH))
+    found = pooled.select("stratum", step.alias("step")).where("step > 0")
+    return found.select("stratum", "step", F.element_at(values, F.col("step")).alias("c")).select(
+        "stratum", "step", *(F.col("c")[i].alias(rule) for i, rule in enumerate(GRID))
     )
-    each = counted.select("stratum", "n", F.explode(cells).alias("c")).select("stratum", "n", "c.*")
-    p_value = binomial_tail(F.col("k"), F.col("n"), risk / len(GRID))
-    return each.where(p_value <= delta / tests).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def verdict(chosen: DataFrame) -> Column:
-    """Whether a measured document is kept. The chosen cutoffs are a bounded table: a row per stratum
-    and rule at most."""
+    """Whether a measured document is kept. The chosen cutoffs are a bounded table: a row per stratum at
+    most."""
     bad = F.col("base_failed")
-    for stratum, rule, cutoff in chosen.collect():
-        bad = bad | ((F.col("stratum") == stratum) & (F.col(rule) > cutoff))
+    for row in chosen.collect():
+        for rule in GRID:
+            bad = bad | ((F.col("stratum") == row["stratum"]) & (F.col(rule) > row[rule]))
     return ~bad
 
 
