@@ -1,5 +1,9 @@
 """Packing (operator 5): Karmarkar-Karp multiway differencing of tokenized documents into windows.
 
+A bucket of documents is cut into pieces, which differencing spreads over as many windows as their tokens
+fill; while a window exceeds the capacity, the number of windows rises. Windows below the capacity are
+padded to it, some 0.5 % of a bucket's tokens, and up to a window at the end of each task.
+
 Cases: a null text is empty and still has its end token; an empty table gives no rows; repeated rows
 are packed once each; very long documents are cut into full windows first; extra columns are ignored.
 """
@@ -8,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,7 +25,9 @@ from pyspark.sql import DataFrame
 #: Entries of a worker's word cache; beyond it the cache starts anew (results don't change).
 CACHE = 800_000
 #: Tokens that are packed together, at least; bounds a worker's memory.
-BUCKET = 4_000_000
+BUCKET = 1_000_000
+#: Pieces of a window, at least; share of tokens that is cut into small pieces, and these' part of a window.
+QUARTER, FINE, SMALL = 4, 0.01, 64
 
 #: Bytes of text that are encoded together, at least.
 TEXT_BYTES = 8 << 20
@@ -30,12 +37,37 @@ PIECES = (
 )
 
 
+#: How a tokenizers file must prepare texts for words to be encoded one by one (fixed values): small letters, and
+#: pieces of letters, single digits and other marks, between which white space is only a boundary.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizers file that treats white space only as a boundary.
+    """Encodes texts with a tokenizers file.
 
-    Words between ASCII white space are encoded once and kept; unknown words of a batch are encoded
-    in one call, and offsets tell which ids belong to which word. Arrow splits the texts and numbers
-    their words, so that Python sees a batch's different words only.
+    If the file prepares texts as NORMALIZER and PRE_TOKENIZER say, words between ASCII white space are
+    encoded once and kept; unknown words of a batch are encoded in one call, and offsets tell which ids
+    belong to which word. Arrow splits the texts and numbers their words, so that Python sees a batch's
+    different words only. With any other file each text is encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -45,6 +77,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.by_word = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -74,6 +109,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
+        if not self.by_word:
+            whole = self.tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)
+            return [np.asarray(x.ids, dtype="<u4").tobytes() for x in whole]
         words = pc.ascii_split_whitespace(texts.fill_null(""))
         ends = np.asarray(words.offsets)
         coded = words.flatten().dictionary_encode()
@@ -165,68 +203,52 @@ def karmarkar_karp(sizes: np.ndarray, k: int) -> np.ndarray:
     return window
 
 
+def cut_into_pieces(lengths: list[int], capacity: int) -> list[tuple[int, int, int]]:
+    """(document, start, length) of pieces of a quarter of a window at most. Of the longest, as many as hold
+    the share FINE of all tokens are cut small, so that differencing ends with pieces that even out windows."""
+    most, small = max(1, capacity // QUARTER), max(1, capacity // SMALL)
+    pieces = [(d, at, min(most, n - at)) for d, n in enumerate(lengths) for at in range(0, n, most)]
+    pieces.sort(key=lambda x: x[2])
+    fine = int(FINE * sum(x[2] for x in pieces))
+    out = []
+    while fine > 0 and pieces and pieces[-1][2] > small:
+        d, start, length = pieces.pop()
+        fine -= length
+        out += [(d, at, min(small, start + length - at)) for at in range(start, start + length, small)]
+    return sorted(pieces + out)
+
+
 def pack(lengths: list[int], capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) so that every id is in exactly one sequence.
 
-    Full windows are cut off first and what is left of a document is cut into quarters of a window
-    at most. Differencing spreads these over as many windows as they fill. Where a window exceeds
-    the capacity, the excess is cut off; windows below it are filled from that excess, and what then
-    remains raises the number of sequences, by lengths that are powers of two and need no padding.
+    Full windows are cut off long documents first. Differencing spreads the pieces of the rest over as few
+    windows as could hold them; where one exceeds the capacity, their number rises and all are spread anew.
     """
     seq = itertools.count()
-    items: list[tuple[int, int, int]] = []
-    quarter = max(1, capacity // 4)
+    rest = list(lengths)
     for d, n in enumerate(lengths):
-        start = 0
-        while n - start >= capacity:
+        for start in range(0, n - capacity + 1, capacity):
             yield d, start, capacity, next(seq), 0
-            start += capacity
-        while start < n:
-            length = min(quarter, n - start)
-            items.append((d, start, length))
-            start += length
-    k = sum(x[2] for x in items) // capacity
-    spare: list[tuple[int, int, int]] = []
-    windows: list[tuple[int, list[tuple[int, int, int]]]] = []
-    if k:
-        own = karmarkar_karp(np.asarray([x[2] for x in items], dtype=np.int64), k)
-        order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(k + 1))
-        for w in range(k):
-            used, kept = 0, []
-            for i in order[bounds[w] : bounds[w + 1]]:
-                d, start, length = items[i]
-                fits = min(length, capacity - used)
-                if fits:
-                    kept.append((d, start, fits))
-                if fits < length:
-                    spare.append((d, start + fits, length - fits))
-                used += fits
-            windows.append((used, kept))
-    else:
-        spare = items
-
-    def take(n: int) -> list[tuple[int, int, int]]:
-        got = []
-        while n and spare:
-            d, start, length = spare.pop()
-            part = min(n, length)
-            got.append((d, start, part))
-            if part < length:
-                spare.append((d, start + part, length - part))
-            n -= part
-        return got
-
-    full = [kept + (take(capacity - used) if used < capacity else []) for used, kept in windows]
-    left = sum(x[2] for x in spare)
-    while left:
-        size = min(capacity, 1 << (left.bit_length() - 1))
-        full.append(take(size))
-        left -= size
-    for pieces in full:
+        rest[d] = n % capacity
+    items = cut_into_pieces(rest, capacity)
+    sizes = np.asarray([x[2] for x in items], dtype=np.int64)
+    k = -(-int(sizes.sum()) // capacity)
+    if not k:
+        return
+    while True:
+        own = karmarkar_karp(sizes, k)
+        over = int(np.bincount(own, sizes, minlength=k).max()) - capacity
+        if over <= 0:
+            break
+        k += max(1, k * over // (2 * capacity))
+    order = np.argsort(own, kind="stable")
+    bounds = np.searchsorted(own[order], np.arange(k + 1))
+    for w in range(k):
+        here = order[bounds[w] : bounds[w + 1]]
         s, offset = next(seq), 0
-        for d, start, length in pieces:
-            yield d, start, length, s, offset
+        for i in here:
+            d, start, length = items[i]
+            yield d, lengths[d] - rest[d] + start, length, s, offset
             offset += length
 
 

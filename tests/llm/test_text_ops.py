@@ -241,7 +241,25 @@ def test_pack_places_each_id_once(lengths):
     for _, _, k, s, at in rows:
         assert fill.get(s, 0) == at and k > 0
         fill[s] = at + k
-    assert all(n == 4096 or n & (n - 1) == 0 for n in fill.values())
+    assert all(n <= 4096 for n in fill.values()) and sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= -(-sum(lengths) // 4096) + 1
+
+
+def test_window_count_rises_and_padding_is_small():
+    rng = random.Random(2)
+    for total in (20_000, 300_000, 1_000_000):
+        lengths = []
+        while sum(lengths) < total:
+            lengths.append(int(rng.lognormvariate(5, 1.2)) + 1)
+        fill = Counter()
+        for _, _, k, s, _ in packing.pack(lengths, 4096):
+            fill[s] += k
+        least = -(-sum(lengths) // 4096)
+        assert max(fill.values()) <= 4096 and least <= len(fill) <= 1.01 * least + 1
+    # Three pieces of 3 don't fit two windows of 5, so that a third is added.
+    assert len({s for *_, s, _ in packing.pack([3, 3, 3], 5)}) >= 2
+    own = packing.karmarkar_karp(__import__("numpy").array([3, 3, 3]), 2)
+    assert max(Counter(own.tolist()).values()) == 2
 
 
 def test_packing_query(spark, sf_dir, texts):
@@ -269,6 +287,10 @@ def test_word_encoder_is_exact():
     want = [array("I", enc.tokenizer.encode(s, add_special_tokens=False).ids).tobytes() for s in odd]
     assert enc.encode(pa.array(odd)) == want
     assert enc.encode(pa.array([None, "a"]).slice(0, 1)) == [b""]
+    other = packing.WordEncoder(tokenizer_path("byte_bpe_50k.json"))
+    assert enc.by_word and not other.by_word
+    want = [array("I", other.tokenizer.encode(s, add_special_tokens=False).ids).tobytes() for s in odd]
+    assert other.encode(pa.array(odd)) == want and other.encode(pa.array([None, "a"]).slice(0, 1)) == [b""]
 
 
 def test_packing_cases(spark):
