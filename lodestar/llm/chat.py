@@ -191,11 +191,11 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_back(segments: DataFrame, paths: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_ancestors) from the
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_segments) from the
     tree's segments and each conversation's path through them."""
     segments, _ = cut(segments, "tree")
     pieces = paths.join(
-        segments.select(F.col("rank").alias("owner"), "text", "losses", F.size("ancestors").alias("up")), "owner"
+        segments.select(F.col("rank").alias("owner"), "text", "losses"), "owner"
     )
     inside = F.filter("losses", lambda x: x["start"] + x["size"] <= F.col("size"))
     pieces = pieces.select(
@@ -204,10 +204,9 @@ def read_back(segments: DataFrame, paths: DataFrame) -> DataFrame:
         F.struct(
             "step", F.substring("text", F.lit(1), F.col("size").cast("int")).alias("text"), inside.alias("losses")
         ).alias("p"),
-        F.when(F.col("owner") == F.col("rank"), F.col("up")).alias("up"),
     )
     whole = pieces.groupBy("rank", "conv_id").agg(
-        F.sort_array(F.collect_list("p")).alias("p"), F.count("*").alias("n_segments"), F.max("up").alias("up")
+        F.sort_array(F.collect_list("p")).alias("p"), F.count("*").alias("n_segments")
     )
     rows = whole.select("conv_id", "p.text", "p.losses", "n_segments")
 
