@@ -3,8 +3,9 @@
 write_archives() gives every page a request, a response or revisit, and a metadata record; the request
 and the metadata name the response in WARC-Concurrent-To. Records are lines of Spark's text writer whose
 separator is the blank line pair that ends a WARC record, so the files are WARC files, gzipped as a
-whole, in any store that Spark can write. read_records() parses files that Spark's binary reader brings,
-each in one task; MOST_RECORDS bounds a file. captures() joins the records of a transaction through
+whole, in any store that Spark can write. Pages are written by classes of size, each with as many records
+to a file as FILE_BYTES allow. read_records() parses files that Spark's binary reader brings, each in one
+task, which unzips PIECE bytes at a time and so holds the zipped file and a record. captures() joins the records of a transaction through
 their concurrent-to identifiers into one nested row, by one aggregation that keeps a value per kind.
 
 Of records with equal payloads (SHA-1 and length) of SMALLEST bytes or more, that with the largest
@@ -22,17 +23,19 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop_path
 
 SMALLEST = 1000
-#: Records in a file, at most.
-MOST_RECORDS = 60_000
+#: Bytes of pages in a file before it is zipped, at most, but for a page that is longer; bytes unzipped at once.
+FILE_BYTES, PIECE = 64 << 20, 1 << 20
+#: Pages below 4 kB, 16 kB and so on are written together; those above the last bound have a file each.
+SIZES = [4096 * 4**i for i in range(7)]
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -63,13 +66,14 @@ def write_archives(pages: DataFrame, path: str) -> None:
         "page_id",
         F.coalesce("url", F.lit("")).alias("url"),
         F.coalesce("html", F.lit("")).alias("html"),
-        F.monotonically_increasing_id().alias("row"),  # by file and place: the same on each reading
+        F.monotonically_increasing_id().alias("row"),
     ).withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "size": F.octet_length("html")})
+    rows, rows_path = cut(rows, "pages")  # so that all that follows sees the same row numbers
     # A row that repeats payload of its digest: the largest page_id, then row, is the response.
     place = F.struct("page_id", "row")
     groups = rows.where(F.col("size") >= SMALLEST).groupBy("digest", "size")
     groups = groups.agg(F.max(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    groups, _ = cut(groups.select("digest", "size", F.col("first.page_id").alias("to_page"), F.col("first.row").alias("to_row")), "payloads")
+    groups, groups_path = cut(groups.select("digest", "size", F.col("first.page_id").alias("to_page"), F.col("first.row").alias("to_row")), "payloads")
     rows = rows.join(groups, ["digest", "size"], "left")
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     host = F.regexp_extract(uri, r"^[a-zA-Z]+://([^/?#]*)", 1)
@@ -100,36 +104,70 @@ def write_archives(pages: DataFrame, path: str) -> None:
     metadata = _record(
         "metadata", [("WARC-Record-ID", _uuid("metadata")), *beside], "application/warc-fields", about
     )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    writer = records.write.option("lineSep", END).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", MOST_RECORDS).text(path)
+    records = rows.select("size", F.explode(F.array(request, response, metadata)).alias("value"))
+    classes = F.lit(len(SIZES))
+    for i, most in reversed(list(enumerate(SIZES))):
+        classes = F.when(F.col("size") < most, i).otherwise(classes)
+    found = [r[0] for r in rows.select(classes).distinct().collect()]  # as many as there are classes, at most
+    for i in sorted(found) or [0]:
+        low, most = ([0, *SIZES][i], SIZES[i] if i < len(SIZES) else 2**31)
+        own = records.where((F.col("size") >= low) & (F.col("size") < most)).select("value")
+        pages_of = max(1, FILE_BYTES // most)
+        writer = own.write.mode("append").option("lineSep", END).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", 3 * pages_of).text(path)
+    for p in (rows_path, groups_path):
+        drop_path(pages.sparkSession, p)
+
+
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """Pieces of one gzip member or several."""
+    while data:
+        z = zlib.decompressobj(31)
+        while not z.eof and data:
+            yield z.decompress(data, PIECE)
+            data = z.unconsumed_tail
+        if not z.eof:
+            raise ValueError("a gzip member ends too early")
+        data = z.unused_data
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in small letters) and block of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+    held, at, source = bytearray(), 0, iter(pieces)
+
+    def more() -> bool:
+        nonlocal at
+        piece = next(source, None)
+        if piece is not None:
+            del held[:at]
+            at = 0
+            held.extend(piece)
+        return piece is not None
+
+    def have(n: int) -> None:
+        while len(held) - at < n:
+            if not more():
+                raise ValueError("an archive ends within a record")
+
+    while len(held) > at or more():
+        if len(held) == at:
+            continue
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", at + seen)) < 0:
+            seen = max(0, len(held) - at - 3)
+            have(len(held) - at + 1)
+        lines = held[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        start = end + 4
-        at = start + int(head["content-length"])
-        yield head, data[start:at]
-        if data[at : at + 4] != b"\r\n\r\n":
+        at = end + 4
+        size = int(head["content-length"])
+        have(size + 4)
+        block = bytes(held[at : at + size])
+        if held[at + size : at + size + 4] != b"\r\n\r\n":
             raise ValueError("a record doesn't end where its length says")
-        at += 4
-
-
-def unzipped(data: bytes) -> bytes:
-    """Of one gzip member or several."""
-    parts = []
-    while data:
-        z = zlib.decompressobj(31)
-        parts.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(parts)
+        at += size + 4
+        yield head, block
 
 
 RECORDS = (
@@ -216,7 +254,10 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     wanted = whole.where("response.refers_to IS NOT NULL").select(F.col("response.refers_to").alias("id")).distinct()
     pages = whole.select(F.col("capture_id").alias("id"), F.col("metadata.page_id").alias("refers_to"))
     named, _ = cut(pages.join(wanted, "id", "left_semi"), "referred")
-    out = whole.join(named, F.col("response.refers_to") == F.col("id"), "left")
+    # Captures that refer to none are dealt out by their own identifiers, not as nulls to one task.
+    key = F.coalesce("response.refers_to", "capture_id")
+    out = whole.withColumn("_key", key).join(named.withColumnRenamed("refers_to", "to"), F.col("_key") == F.col("id"), "left")
+    out = out.withColumn("refers_to", F.when(F.col("response.refers_to").isNotNull(), F.col("to")))
     return out.select(
         F.col("metadata.page_id").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),

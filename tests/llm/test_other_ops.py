@@ -132,6 +132,37 @@ def test_warc_repeated_rows(spark):
     assert {r.refers_to for r in out if r.record_type == "revisit"} == {1}
 
 
+def test_warc_files_are_bounded(spark, monkeypatch):
+    """Pages of all sizes; no file holds more than its bytes, but for a single longer page."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 60_000)
+    rng = random.Random(2)
+    rows = [(i, f"u{i}", "".join(rng.choices("ab<>é", k=rng.choice((0, 10, 3000, 9000, 40_000, 300_000))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = new_path(spark, "test")
+    warc.write_archives(df, path)
+    out = warc.transactions(spark, path).collect()
+    assert sorted((tuple(r)[:5] for r in out), key=str) == wanted(rows)
+    for f in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect():
+        sizes = [len(block) for head, block in warc.parse(warc.unzipped(bytes(f.content))) if head["warc-type"] == "response"]
+        assert sum(sizes) <= 65_000 or len(sizes) == 1
+
+
+def test_warc_parser_streams(monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "PIECE", 7)
+    blocks = [b"", b"\r\n\r\nWARC/1.1", b"x" * 500, b"\r\n"]
+    data = [b"WARC/1.1\r\nA: b\r\nContent-Length: %d\r\n\r\n" % len(x) + x + b"\r\n\r\n" for x in blocks]
+    one, many = gzip.compress(b"".join(data)), b"".join(map(gzip.compress, data))
+    for zipped in (one, many):
+        assert [x for _, x in warc.parse(warc.unzipped(zipped))] == blocks
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.unzipped(zipped[:-9])))
+    assert list(warc.parse(warc.unzipped(b""))) == [] and list(warc.parse([b"", b""])) == []
+    with pytest.raises(ValueError):
+        list(warc.parse([data[2][:-2]]))
+
+
 # 6: media columns
 
 
