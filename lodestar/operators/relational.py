@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A dimension up to this many bytes, by Catalyst's statistics, is sent to every executor.
-BROADCAST_BYTES = 64 << 20
+#: A dimension up to this many bytes in memory is sent to every executor. Catalyst's estimate of a scan is the size
+#: of its files, which are encoded and compressed; in memory they take INFLATED times that, about.
+BROADCAST_BYTES, INFLATED = 64 << 20, 4
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -19,7 +20,7 @@ def size_in_bytes(df: DataFrame) -> int:
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its estimated size allows it; else the planner and adaptive
     execution choose a shuffled join."""
-    return F.broadcast(df) if size_in_bytes(df) <= limit else df
+    return F.broadcast(df) if size_in_bytes(df) * INFLATED <= limit else df
 
 
 def scan(df: DataFrame, where: Column | str | None = None, columns: Sequence[str] = ()) -> DataFrame:

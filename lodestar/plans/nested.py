@@ -13,7 +13,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,17 +132,20 @@ def leave_one_out(
     min and max need the best two keys only: the best serves every row but those of its own key, which
     take the second. sum and count are the total less the own group. No cartesian product.
     """
+    # An equality could become a join key, and an exchange cannot wait for a subquery.
+    compare = (lambda a, b: (a <= b) & (a >= b)) if op == "=" else _COMPARE[op]
     keyed = inner.where(F.col(inner_key).isNotNull())
     if kind in ("min", "max"):
         best = (F.min if kind == "min" else F.max)(inner_value).alias("v")
         per_key = keyed.groupBy(F.col(inner_key).alias("k")).agg(best).where("v IS NOT NULL")
-        order = [F.col("v") if kind == "min" else F.desc("v"), F.col("k")]
-        two = per_key.orderBy(*order).limit(2).collect()  # a top-2, computed while planning
-        if not two:
-            return outer.limit(0)
-        second = F.lit(two[1]["v"]) if len(two) > 1 else F.lit(None)
-        other = F.when(F.col(key) == two[0]["k"], second).otherwise(two[0]["v"])
-        return outer.where(F.col(key).isNotNull() & _COMPARE[op](F.col(value), other))
+        two = per_key.orderBy(F.col("v") if kind == "min" else F.desc("v")).limit(2)
+        low, high = F.min(F.struct("v", "k")), F.max(F.struct("v", "k"))
+        first, second = (low, high) if kind == "min" else (high, low)
+        second = F.when(F.count("*") > 1, second).getField("v")
+        # A scalar subquery of one row, which runs with the query; null without inner rows.
+        top = two.agg(F.struct(first.alias("first"), second.alias("second")).alias("top")).scalar()
+        other = F.when(F.col(key) == top["first"]["k"], top["second"]).otherwise(top["first"]["v"])
+        return outer.where(F.col(key).isNotNull() & compare(F.col(value), other))
     if kind not in ("sum", "count"):
         raise ValueError(f"no leave-one-out plan for {kind}")
     # Decimals, so that a difference of sums is exact.
@@ -151,13 +153,14 @@ def leave_one_out(
     own = keyed.groupBy(F.col(inner_key).alias("_k")).agg(
         F.sum(measure).alias("_s"), F.count(measure).alias("_n")
     )
-    total = own.agg(F.coalesce(F.sum("_s"), F.lit(0)).alias("s"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
+    sums = F.struct(F.coalesce(F.sum("_s"), F.lit(0)).alias("s"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n"))
+    total = own.agg(sums.alias("total")).scalar()
     # A null key differs from no key, so its subquery is empty: a count of 0, a null sum.
-    n = F.when(F.col(key).isNull(), 0).otherwise(F.lit(total["n"]) - F.coalesce("_n", F.lit(0)))
-    s = F.lit(total["s"]) - F.coalesce("_s", F.lit(0))
+    n = F.when(F.col(key).isNull(), 0).otherwise(total["n"] - F.coalesce("_n", F.lit(0)))
+    s = total["s"] - F.coalesce("_s", F.lit(0))
     other = n if kind == "count" else F.when(n > 0, s)
     joined = outer.join(own, F.col(key) == F.col("_k"), "left")
-    return joined.where(_COMPARE[op](F.col(value), other)).select(*outer.columns)
+    return joined.where(compare(F.col(value), other)).select(*outer.columns)
 
 
 def in_set(outer: DataFrame, inner: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
@@ -174,16 +177,41 @@ def _closing(text: str, at: int) -> int:
     raise ValueError("a parenthesis is not closed")
 
 
-_SCALAR = re.compile(r"([\w.]+)\s*(=|<>|!=|<=|>=|<|>)\s*(?:(ANY|SOME|ALL)\s*)?\((?=\s*SELECT\b)", re.I)
+_SCALAR = re.compile(
+    r"([\w.]+)\s*(?:(=|<>|!=|<=|>=|<|>)\s*(?:(ANY|SOME|ALL)\s*)?|\b(NOT)\s+IN\s*)\((?=\s*SELECT\b)", re.I
+)
 _CALL = re.compile(r"\b(?:min|max|sum|avg|count)\s*\(", re.I)
 
 
+def _quantified(value: str, op: str, every: bool, inner: str) -> str:
+    """value op ANY or ALL over an inner query of one column y that runs by itself, without a nested loop:
+    the inner minimum and maximum decide, or an equi join where equality does. A null that leaves it open
+    counts as false; ALL over no rows is true."""
+    of = lambda what: f"(SELECT {what} FROM ({inner}) AS _any)"
+    same = f"EXISTS (SELECT 1 FROM ({inner}) AS _any WHERE {value} = _any.y)"
+    if not every:
+        if op == "=":
+            return same
+        if op == "<>":
+            return f"coalesce({value} <> {of('min(_any.y)')} OR {value} <> {of('max(_any.y)')}, false)"
+        return f"coalesce({value} {op} {of('min(_any.y)' if op in ('>', '>=') else 'max(_any.y)')}, false)"
+    whole = "CASE WHEN count(*) = count(_any.y) THEN {}(_any.y) END"
+    none = f"{of('count(*)')} = 0"
+    if op == "<>":
+        return f"({none} OR ({value} IS NOT NULL AND {of('count(*) = count(_any.y)')})) AND NOT {same}"
+    ends = ("min", "max") if op == "=" else ("max",) if op in (">", ">=") else ("min",)
+    tests = " AND ".join(f"{value} {op} {of(whole.format(x))}" for x in ends)
+    return f"({none} OR coalesce({tests}, false))"
+
+
 def rewritten(sql: str, closed: Callable[[str], bool] = lambda inner: False) -> str:
-    """sql with J scalars and ANY / ALL comparisons as EXISTS or NOT EXISTS.
+    """sql with J scalars, ANY / ALL comparisons and NOT IN as EXISTS, NOT EXISTS or scalars.
 
     `x > (SELECT y FROM t WHERE ...)` without an aggregate may have many inner rows, and is read as
     `x > ANY`. `closed` tells whether an inner query runs by itself: a scalar that does is left alone,
-    and ANY / ALL over one becomes a derived table, where no inner column can hide an outer one.
+    and ANY / ALL over one reads a derived table, where no inner column can hide an outer one. NOT IN over
+    one is `<> ALL`, so that a plain anti join takes the place of the null-aware one, whose inner side is
+    always broadcast.
     Literals are put aside first, so that their content is never read as SQL.
     """
 
@@ -202,22 +230,25 @@ def rewritten(sql: str, closed: Callable[[str], bool] = lambda inner: False) ->
         end = _closing(text, m.end() - 1)
         inner = text[m.end() : end]
         head = re.match(r"\s*SELECT\s+(.*?)\s+FROM\s", inner, re.I | re.S)
-        quantified = (m[3] or "").upper()
+        quantified = "ALL" if m[4] else (m[3] or "").upper()
         plain = head and not _CALL.search(head[1]) and "," not in head[1]
         correlated = bool(re.search(r"\bWHERE\b", inner, re.I))
         grouped = re.search(r"\bGROUP\s+BY\b|\bLIMIT\b", inner, re.I)
         alone = bool(plain) and closed(restored(inner))
-        if not plain or grouped or not (quantified or (correlated and not alone)):
+        if not plain or grouped or not (quantified or (correlated and not alone)) or m[4] and not alone:
             at = m.end()
             continue
-        op = "<>" if m[2] == "!=" else m[2]
-        test = f"{m[1]} {op} {'_any.y' if alone else head[1]}"
+        op = "<>" if m[4] or m[2] == "!=" else m[2]
+        if alone:
+            test = _quantified(m[1], op, quantified == "ALL", f"SELECT {head[1]} AS y{inner[head.end(1) :]}")
+            text = text[: m.start()] + f"({test})" + text[end + 1 :]
+            at = m.start() + len(test) + 2
+            continue
+        test = f"{m[1]} {op} {head[1]}"
         if quantified == "ALL":
             test = f"NOT coalesce({test}, false)"
         rest = inner[head.end(1) :]
-        if alone:
-            rest = f" FROM (SELECT {head[1]} AS y{rest}) AS _any WHERE {test}"
-        elif correlated:
+        if correlated:
             rest = re.sub(r"\bWHERE\b", lambda w: f"WHERE {test} AND (", rest, count=1, flags=re.I) + ")"
         else:
             rest = f"{rest} WHERE {test}"
@@ -231,10 +262,7 @@ def run_sql(spark: SparkSession, sql: str) -> DataFrame:
     """A query of the dialect as a DataFrame."""
 
     def closed(inner: str) -> bool:
-        try:
-            spark.sql(inner)
-        except AnalysisException:
-            return False
-        return True
+        state = spark._jsparkSession.sessionState()
+        return state.analyzer().execute(state.sqlParser().parsePlan(inner)).resolved()
 
     return spark.sql(rewritten(sql, closed))

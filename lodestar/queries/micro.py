@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import date_key, like_segments, rows_in
 from ..operators import relational as R
 from ..plans.nested import in_set, run_sql
-from ..sources.schema import skewed
-from ..sources.tables import register, with_derived
+from ..sources.generate import generated
+from ..sources.schema import (
+    format_schema, parse_schema, read_columns, read_tbl, skewed, write_bucketed, write_columns,
+)
+from ..sources.tables import preload, register, shared_folder, with_derived
 from . import Query
 
 _S = "CAST(sum(CAST({} AS DECIMAL(18, 4))) AS DOUBLE)"
 _PRICE = _S.format("l_extendedprice")
 
+#: Parts with a value that is null, not a number, infinite or none of these.
+_ODD = (
+    "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) "
+    "WHEN 2 THEN -CAST('Infinity' AS DOUBLE) WHEN 3 THEN p_retailprice END AS v FROM part"
+)
+
 #: Queries that Spark and the oracle read alike.
 SQL = {
     # scans and projections
@@ -65,6 +76,16 @@ SQL = {
     "filter_row_in": "SELECT p_partkey FROM part WHERE (p_size, p_type) IN ((1, 'PROMO'), (2, 'SMALL'))",
     "filter_row_in_query": "SELECT count(*) AS a FROM lineitem WHERE (l_partkey, l_suppkey) IN "
     "(SELECT ps_partkey, ps_suppkey FROM partsupp WHERE ps_availqty > 60)",
+    "filter_not_exists_some": "SELECT c_custkey FROM customer WHERE NOT EXISTS "
+    "(SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "filter_regexp": "SELECT p_partkey FROM part WHERE REGEXP_LIKE(p_brand, '^Brand#(1[0-9]|[2-4])$')",
+    "filter_regexp_flags": "SELECT p_partkey FROM part WHERE REGEXP_LIKE(p_type, '^med|MO$', 'i')",
+    "filter_like_escape": "SELECT n_name FROM nation WHERE n_name LIKE 'NATION/_1%' ESCAPE '/'",
+    "filter_not_like_escape": "SELECT n_name FROM nation WHERE n_name NOT LIKE '%!_1_' ESCAPE '!'",
+    "filter_nan": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE v IS NAN",
+    "filter_not_nan": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE v IS NOT NAN",
+    "filter_infinite": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE v IS INFINITE",
+    "filter_not_infinite": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE v IS NOT INFINITE",
     "filter_case": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS c FROM part",
     "filter_case_simple": "SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 1 ELSE 0 END AS c FROM part",
     # joins
@@ -115,14 +136,24 @@ SQL = {
     "fn_power": "SELECT p_partkey, power(p_size, 2) AS a FROM part",
     "fn_cast": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) AS a, CAST(l_orderkey AS VARCHAR(20)) AS b FROM lineitem",
     "fn_date_parts": "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders",
+    "fn_time_zone": "SELECT o_orderkey, o_orderdate AT TIME ZONE 'America/New_York' AS t FROM orders",
     "fn_interval": "SELECT count(*) AS a FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00' + INTERVAL '3' MONTH",
 }
 #: The oracle's text where its syntax differs.
-STANDARD = {"filter_ne_caret": "SELECT count(*) AS a FROM part WHERE p_brand <> 'Brand#3'"}
+STANDARD = {
+    "filter_ne_caret": "SELECT count(*) AS a FROM part WHERE p_brand <> 'Brand#3'",
+    "filter_regexp": "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '^Brand#(1[0-9]|[2-4])$')",
+    "filter_regexp_flags": "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^med|MO$', 'i')",
+    "filter_nan": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE isnan(v)",
+    "filter_not_nan": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE NOT isnan(v)",
+    "filter_infinite": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE isinf(v)",
+    "filter_not_infinite": f"SELECT p_partkey FROM ({_ODD}) AS t WHERE NOT isinf(v)",
+    "fn_time_zone": "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS t FROM orders",
+}
 
 
 def _star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir)
+    register(spark, sf_dir, uses="ssb_lineorder ssb_ddate")
     t = spark.table
     fact = R.star_join(
         t("ssb_lineorder"),
@@ -144,7 +175,8 @@ def _semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir)
     customer, orders = spark.table("customer"), spark.table("orders")
-    return R.hash_join(customer, orders, [("c_custkey", "o_custkey")], "left_anti").select("c_custkey")
+    dear = orders.where("o_totalprice > 300000")
+    return R.hash_join(customer, dear, [("c_custkey", "o_custkey")], "left_anti").select("c_custkey")
 
 
 def _band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,10 +193,71 @@ def _salted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _skew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark, sf_dir, uses="partsupp")
+    out = skewed(spark.table("partsupp"), "ps_suppkey", 0.3, ["ps_partkey", "ps_suppkey"])
+    return out.groupBy("ps_suppkey").agg(F.count("*").alias("n"))
+
+
+def _loaded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as delimited text and read back by its declared schema."""
+    register(spark, sf_dir)
+    text = "PART|P_PARTKEY:INTEGER|P_BRAND:TEXT:7|P_SIZE:INTEGER|P_RETAILPRICE:DECIMAL"
+    path = _new_path(spark)
+    columns = [c.lower() for c in parse_schema(text)["PART"].names]
+    spark.table("part").select(*columns).write.option("sep", "|").csv(path)
+    part = read_tbl(spark, path, parse_schema(format_schema(parse_schema(text)))["PART"])
+    price = F.col("P_RETAILPRICE").cast("double").alias("p_retailprice")
+    return part.select(F.col("P_PARTKEY").alias("p_partkey"), F.col("P_BRAND").alias("p_brand"), F.col("P_SIZE").alias("p_size"), price)
+
+
+def _loaded_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file sorted by a column, whose statistics serve as its index, read by a range of it."""
+    register(spark, sf_dir)
+    path = _new_path(spark)
+    write_columns(spark.table("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, sort_by=["o_totalprice"])
+    return read_columns(spark, path, ["o_orderkey", "o_totalprice"]).where("o_totalprice BETWEEN 250000 AND 300000")
+
+
+def _loaded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by the values of a column, of which one is read."""
+    register(spark, sf_dir)
+    path = _new_path(spark)
+    write_columns(spark.table("part").select("p_partkey", "p_type"), path, partition_by=["p_type"])
+    return read_columns(spark, path).where("p_type = 'PROMO'").select("p_partkey", F.col("p_type").cast("string").alias("p_type"))
+
+
+def _loaded_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of two tables with the same buckets, which needs no shuffle."""
     register(spark, sf_dir)
-    out = skewed(spark.table("partsupp"), "ps_suppkey", 0.0, ["ps_partkey", "ps_suppkey"])
-    moved = out.where("ps_partkey < 100").unionByName(out.where("ps_partkey >= 100").withColumn("ps_suppkey", F.lit(0).cast("long")))
-    return moved.groupBy("ps_suppkey").agg(F.count("*").alias("n"))
+    names = [f"lodestar_{t}_{uuid.uuid4().hex}" for t in ("o", "l")]
+    for name, table, key in zip(names, ("orders", "lineitem"), ("o_orderkey", "l_orderkey")):
+        write_bucketed(spark.table(table), name, key, 4, _new_path(spark))
+    both = spark.table(names[0]).join(spark.table(names[1]), F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.groupBy("o_orderstatus").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"), F.count("*").alias("n"))
+
+
+def _preloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that reads a table twice, of what was kept in memory within a budget."""
+    register(spark, sf_dir)
+    preload(spark, ["nation", "region", "lineitem"], 1 << 20)
+    return run_sql(spark, PRELOADED)
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generated(spark, "nation").join(generated(spark, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+
+def _new_path(spark: SparkSession) -> str:
+    folder = shared_folder(spark)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{folder}/lodestar-{uuid.uuid4().hex}"
+
+
+PRELOADED = (
+    "SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey AND n_nationkey > "
+    "(SELECT avg(n_nationkey) FROM nation WHERE n_regionkey = r_regionkey)"
+)
 
 
 def _like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +285,7 @@ _OWN: dict[str, tuple[Query, str]] = {
         "AND d_year = 1997 AND s_region = 'ASIA' AND p_mfgr = 'MFGR#3' GROUP BY s_nation, p_category",
     ),
     "join_semi": (_semi, "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)"),
-    "join_anti": (_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    "join_anti": (_anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)"),
     "join_band": (
         _band,
         "SELECT c_custkey, s_suppkey FROM customer, supplier WHERE c_acctbal >= s_acctbal AND c_acctbal <= s_acctbal + 100",
@@ -203,8 +296,25 @@ _OWN: dict[str, tuple[Query, str]] = {
     ),
     "skew_group": (
         _skew,
-        "SELECT k AS ps_suppkey, count(*) AS n FROM (SELECT CASE WHEN ps_partkey < 100 THEN ps_suppkey ELSE 0 END AS k "
-        "FROM partsupp) AS x GROUP BY k",
+        "SELECT k AS ps_suppkey, count(*) AS n FROM (SELECT CASE WHEN ps_partkey <= (SELECT max(ps_partkey) FROM (SELECT "
+        "ps_partkey, row_number() OVER (ORDER BY ps_partkey) AS r, count(*) OVER () AS c FROM partsupp) AS y WHERE r <= "
+        "ceil(0.3 * c)) THEN (SELECT ps_suppkey FROM partsupp ORDER BY ps_partkey, ps_suppkey LIMIT 1) ELSE ps_suppkey END "
+        "AS k FROM partsupp) AS x GROUP BY k",
+    ),
+    "load_text": (_loaded_text, "SELECT p_partkey, substring(p_brand, 1, 7) AS p_brand, p_size, round(p_retailprice, 2) AS p_retailprice FROM part"),
+    "load_sorted": (_loaded_sorted, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 250000 AND 300000"),
+    "load_partitioned": (_loaded_parts, "SELECT p_partkey, p_type FROM part WHERE p_type = 'PROMO'"),
+    "load_bucketed": (
+        _loaded_buckets,
+        "SELECT o_orderstatus, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS q, count(*) AS n FROM orders, lineitem "
+        "WHERE o_orderkey = l_orderkey GROUP BY o_orderstatus",
+    ),
+    "load_preload": (_preloaded, PRELOADED),
+    "generate_nation": (
+        _generated,
+        "SELECT CAST(i AS INT) AS n_nationkey, concat('NATION_', i) AS n_name, CAST(i % 5 AS INT) AS n_regionkey, "
+        "CAST(i % 5 AS INT) AS r_regionkey, ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'][i % 5 + 1] AS r_name "
+        "FROM range(25) AS t(i)",
     ),
     "filter_like_segments": (_like, "SELECT n_name FROM nation WHERE starts_with(n_name, 'NATION_1')"),
     "filter_rows_in": (
@@ -221,7 +331,7 @@ _OWN: dict[str, tuple[Query, str]] = {
 
 def _run(text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, uses=text)
         return run_sql(spark, text)
 
     return query

@@ -91,7 +91,7 @@ SQL = {
 
 def _run(text: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, uses=text.format_map(STAR))
         return run_sql(spark, text.format_map(STAR))
 
     return query

@@ -74,9 +74,10 @@ def write_columns(
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """A table whose joins on key need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A table whose joins on key need no shuffle, one file for each bucket; at path, or in the warehouse."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:

@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .schema import write_bucketed
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 #: Derived tables, in SQL that both Spark and a reference database read the same way.
@@ -52,23 +61,80 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Tables of this application whose schema is known: reading a footer again takes a job. Files are taken not to
-#: change under a path while the application runs.
-_known: dict[tuple[str, str, str], DataFrame] = {}
+#: Derived tables that are stored once, as loading does, with the key that their rows are bucketed by.
+LOADED = {"partsupp": "ps_partkey", "ssb_lineorder": None, "ssb_ddate": None}
+BUCKETS = 8
 
+#: Tables of this application by path and state of their files: reading a footer again takes a job.
+_known: dict[tuple, DataFrame] = {}
 
-def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time and bytes of a table's files, which tell whether it was written anew."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getModificationTime(), fs.getContentSummary(p).getLength()
+
+
+def _remembered(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a key, whose last part is a state; a table in another state is forgotten."""
     if key not in _known:
-        _known[key] = table(spark, sf_dir, name)
+        for old in [k for k in _known if k[:-1] == key[:-1]]:
+            del _known[old]
+        _known[key] = make()
     return _known[key]
 
 
-def register(spark: SparkSession, sf_dir: str, star: bool = False) -> None:
-    """Temporary views of all tables; with star, the star schema's names hide the others."""
+def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    state = _state(spark, f"{sf_dir}/{name}.parquet")
+    return _remembered((spark.sparkContext.applicationId, sf_dir, name, state), lambda: table(spark, sf_dir, name))
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """Where driver and executors can both write: what spark.checkpoint.dir names. Only sessions in local mode
+    without the setting get a temporary folder; others without it have none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        return None
+    if not _temporary:
+        _temporary.append(tempfile.mkdtemp(prefix="lodestar-"))
+        atexit.register(shutil.rmtree, _temporary[0], ignore_errors=True)
+    return f"file://{_temporary[0]}"
+
+
+_temporary: list[str] = []
+
+
+def _loaded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A derived table as stored, bucketed by its key; None if there is no folder for it."""
+    folder = shared_folder(spark)
+    if folder is None:
+        return None
+
+    def make() -> DataFrame:
+        label = f"lodestar_{name}_{uuid.uuid4().hex}"
+        path, own, key = f"{folder}/{label}", spark.sql(DERIVED[name]), LOADED[name]
+        if key is None:
+            own.write.parquet(path)
+            return spark.read.schema(own.schema).parquet(path)
+        write_bucketed(own, label, key, BUCKETS, path)
+        return spark.table(label)
+
+    state = tuple(_state(spark, f"{sf_dir}/{x}.parquet") for x in BASE if re.search(rf"\b{x}\b", DERIVED[name]))
+    return _remembered((spark.sparkContext.applicationId, folder, sf_dir, name, state), make)
+
+
+def register(spark: SparkSession, sf_dir: str, star: bool = False, uses: str = "") -> None:
+    """Temporary views of all tables; with star, the star schema's names hide the others. Of LOADED, those that
+    `uses` names are read as stored, the others are computed where they are read."""
     for name in BASE:
         _base(spark, sf_dir, name).createOrReplaceTempView(name)
-    derived = {name: spark.sql(text) for name, text in DERIVED.items()}
+    derived = {}
+    for name, text in DERIVED.items():
+        df = _loaded(spark, sf_dir, name) if name in LOADED and re.search(rf"\b{name}\b", uses) else None
+        derived[name] = spark.sql(text) if df is None else df
     for name, df in derived.items():
         df.createOrReplaceTempView(name)
     if star:

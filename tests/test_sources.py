@@ -100,3 +100,32 @@ def test_generated_tables(spark, tmp_path):
         assert df.exceptAll(generated(spark, name, 0.001)).count() == 0
     assert star.queries()["ssb_q1_1"](spark, str(tmp_path)).count() == 1
     assert generated(spark, "orders", 0.001).schema["o_orderdate"].dataType == T.TimestampNTZType()
+
+
+def test_tables_written_anew_are_read_anew(spark, tmp_path):
+    import time
+
+    from lodestar.sources.generate import write_tables
+    from lodestar.sources.tables import register
+
+    folder = str(tmp_path)
+    write_tables(spark, folder, 0.0005)
+    register(spark, folder, uses="partsupp")
+    before = spark.table("partsupp").agg(F.sum("ps_availqty")).first()[0]
+    assert spark.table("lineitem").count() == 3000
+    time.sleep(1.1)
+    write_tables(spark, folder, 0.001)
+    register(spark, folder, uses="partsupp")
+    assert spark.table("lineitem").count() == 6000
+    assert spark.table("partsupp").agg(F.sum("ps_availqty")).first()[0] > before
+
+
+def test_derived_tables_are_stored_once(spark, sf_dir):
+    from lodestar.plans.metrics import physical_plan
+    from lodestar.sources.tables import register
+
+    register(spark, sf_dir, uses="SELECT * FROM partsupp")
+    plan = physical_plan(spark.sql("SELECT ps_partkey, min(ps_supplycost) FROM partsupp GROUP BY ps_partkey"))
+    assert "Exchange" not in plan and "l_partkey" not in plan
+    register(spark, sf_dir)
+    assert "l_partkey" in physical_plan(spark.table("partsupp"))
