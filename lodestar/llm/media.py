@@ -1,13 +1,17 @@
-"""Media columns (operator 6): local image descriptors find cropped or edited copies.
+"""Media columns (operator 6): local image descriptors find cropped, resized, mirrored or edited copies.
 
 An image (binary PGM, 8 bit) gives corners at several scales: Harris responses that are the largest of
 their neighbourhood and above a share of the image's maximum. Each corner has the direction of its
-intensity centroid and, turned by it, BITS binary brightness tests. A stated set of queries is searched
-against all images: the queries' descriptors come in blocks of QUERY_BLOCK images, whose Hamming tables
-(a sorted table for each of BANDS bands of a descriptor) have a fixed size and go to the tasks with the
-function. An image's corners are looked up in them, candidates of MOST_BITS differing bits or fewer are
-matches, and each match votes for a turn, a scale and a shift of the query: LEAST_VOTES corners that
-agree make a copy. No candidate is dropped and no pair of corners is a row.
+intensity centroid and, turned by it, BITS binary brightness tests; the tests are closed under reflection,
+so that a mirrored image's bits are known. A stated set of queries is searched against all images:
+corners meet by Hamming tables, keyed by each of BANDS bands of a descriptor; of those that meet,
+MOST_BITS differing bits or fewer are matches, and each match votes for a turn, a scale and a shift of the
+query: LEAST_VOTES corners that agree make a copy. No candidate is dropped.
+
+If the queries' descriptors take TABLE_BYTES or fewer, the tables are built once and go to the tasks with
+the function, and images are read where they lie. Otherwise both sides are joined on (band, value), the
+matches of a query and an image meet by a second exchange, and no side is gathered; adaptive execution
+splits values that very many corners have. Both ways give the same rows.
 
 Images with equal bytes are one class; only its representative, the one with the smallest id, is
 described and matched, so copies are not expanded into pairs.
@@ -28,22 +32,27 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SCALES = (1.0, 0.8)
-BORDER, BITS, TURNS = 11, 256, 32
-BANDS, BAND_BITS = 10, 25
+#: Levels of the pyramid, and those that images with a side below SMALL have besides.
+SCALES, UPWARD, SMALL = (1.0, 0.8, 0.64, 0.512), (1.25, 1.5625, 1.953125), 48
+STEP = 0.8
+BORDER, REACH, BITS, TURNS = 8, 5, 256, 32
+BANDS, BAND_BITS = 12, 21
 MOST_BITS, LEAST_VOTES = 44, 4
 #: Width of a vote for the shift, in pixels, and for the turn, in steps of a full turn / TURNS.
 SHIFT, TURN = 6.0, 3
 #: Share of the strongest response that a corner has at least.
 LEAST_RESPONSE = 0.02
-QUERY_BLOCK = 4096
+#: Bytes of descriptors that go to the tasks, at most.
+TABLE_BYTES = 32 << 20
 #: Pixels, corners and candidates that are worked on at once, about.
 PIXELS, CORNERS, CANDIDATES = 1 << 19, 1000, 1 << 20
 #: Images whose corners are looked up together.
 IMAGES = 100
 
 _rng = np.random.default_rng(11)
-_TESTS = np.clip(_rng.normal(0, 4.0, (BITS, 2, 2)), -7, 7)
+_HALF = np.clip(_rng.normal(0, 2.8, (BITS // 2, 2, 2)), -REACH, REACH)
+#: Tests and their mirror images, so that a mirrored image's bits are the same with the halves exchanged.
+_TESTS = np.concatenate([_HALF, _HALF * [1, -1]])
 _ANGLES = np.arange(TURNS) * 2 * np.pi / TURNS
 _ROTATED = np.rint(
     np.stack(
@@ -54,7 +63,10 @@ _ROTATED = np.rint(
         axis=-1,
     )
 ).astype(np.int32)  # turn, test, end, (x, y)
-_DISC = np.array([(x, y) for x in range(-7, 8) for y in range(-7, 8) if x * x + y * y <= 49], dtype=np.int32)
+_DISC = np.array(
+    [(x, y) for x in range(-REACH, REACH + 1) for y in range(-REACH, REACH + 1) if x * x + y * y <= REACH * REACH],
+    dtype=np.int32,
+)
 
 
 def pgm(image: np.ndarray) -> bytes:
@@ -100,7 +112,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For images (n, h, w): each corner's image, its (x, y, scale, turn) and its packed bits."""
     owners, places, bits = [np.zeros(0, np.int64)], [np.zeros((0, 4), np.float32)], [np.zeros((0, BITS // 8), np.uint8)]
     whole = images.astype(np.float32)
-    for scale in SCALES:
+    for scale in SCALES + (UPWARD if min(images.shape[1:]) < SMALL else ()):
         x = _resized(whole, scale)
         n, h, w = x.shape
         if min(h, w) <= 2 * BORDER:
@@ -140,6 +152,14 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(places), np.concatenate(bits)
 
 
+def mirrored(place: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of the image's mirror image, but for a shift."""
+    place = place.copy()
+    place[:, 0] *= -1
+    place[:, 3] = (TURNS // 2 - place[:, 3]) % TURNS
+    return place, np.roll(bits, BITS // 16, axis=1)
+
+
 def bands(bits: np.ndarray) -> np.ndarray:
     """(corner, band): the bands' values."""
     flat = np.unpackbits(bits, axis=1)[:, : BANDS * BAND_BITS].reshape(-1, BANDS, BAND_BITS)
@@ -192,33 +212,38 @@ class Tables:
         m, q = self.matches(bits)
         if not len(m):
             return
-        a, b = self.place[q], place[m]
-        turn = (b[:, 3] - a[:, 3]) % TURNS
-        angle = turn * (2 * np.pi / TURNS)
-        ratio = b[:, 2] / a[:, 2]
-        sx = b[:, 0] - ratio * (np.cos(angle) * a[:, 0] - np.sin(angle) * a[:, 1])
-        sy = b[:, 1] - ratio * (np.sin(angle) * a[:, 0] + np.cos(angle) * a[:, 1])
-        pair = self.owner[q].astype(np.int64) * (int(owner.max()) + 1) + owner[m]
-        scale = np.rint(np.log(ratio) / np.log(SCALES[0] / SCALES[1])).astype(np.int64)
-        best: dict[int, int] = {}
-        for shift in range(8):  # grids moved by half a step, so that agreeing votes share a bin in one
-            half = [0.5 * (shift >> k & 1) for k in range(3)]
-            spot = (
-                np.floor(turn / TURN + half[0]).astype(np.int64) % (TURNS // TURN + 1),
-                np.floor(sx / SHIFT + half[1]).astype(np.int64),
-                np.floor(sy / SHIFT + half[2]).astype(np.int64),
-            )
-            votes = np.unique(np.stack([pair, scale, *spot, q]), axis=1)
-            same = np.r_[True, (votes[:5, 1:] != votes[:5, :-1]).any(axis=0)]
-            first = np.flatnonzero(same)
-            count = np.diff(np.r_[first, votes.shape[1]])
-            for p, c in zip(votes[0, first[count >= LEAST_VOTES]].tolist(), count[count >= LEAST_VOTES].tolist()):
-                best[p] = max(best.get(p, 0), c)
         size = int(owner.max()) + 1
-        for p, c in best.items():
+        pair = self.owner[q].astype(np.int64) * size + owner[m]
+        for p, c in voted(pair, q, self.place[q], place[m]).items():
             yield p // size, p % size, c
 
 
+def voted(pair: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """For each pair of a query and an image the votes for one turn, scale and shift, if they suffice. q tells
+    query corners apart; a and b are the places of both ends of each match."""
+    turn = (b[:, 3] - a[:, 3]) % TURNS
+    angle = turn * (2 * np.pi / TURNS)
+    ratio = b[:, 2] / a[:, 2]
+    sx = b[:, 0] - ratio * (np.cos(angle) * a[:, 0] - np.sin(angle) * a[:, 1])
+    sy = b[:, 1] - ratio * (np.sin(angle) * a[:, 0] + np.cos(angle) * a[:, 1])
+    scale = np.rint(np.log(ratio) / np.log(STEP)).astype(np.int64)
+    best: dict[int, int] = {}
+    for shift in range(8):  # grids moved by half a step, so that agreeing votes share a bin in one
+        half = [0.5 * (shift >> k & 1) for k in range(3)]
+        spot = (
+            np.floor(turn / TURN + half[0]).astype(np.int64) % (TURNS // TURN + 1),
+            np.floor(sx / SHIFT + half[1]).astype(np.int64),
+            np.floor(sy / SHIFT + half[2]).astype(np.int64),
+        )
+        votes = np.unique(np.stack([pair, scale, *spot, q]), axis=1)
+        same = np.r_[True, (votes[:5, 1:] != votes[:5, :-1]).any(axis=0)]
+        first = np.flatnonzero(same)
+        count = np.diff(np.r_[first, votes.shape[1]])
+        for p, c in zip(votes[0, first[count >= LEAST_VOTES]].tolist(), count[count >= LEAST_VOTES].tolist()):
+            best[p] = max(best.get(p, 0), c)
+    return best
+
+
 def _grouped(images: list[np.ndarray | None]) -> Iterator[tuple[list[int], np.ndarray]]:
     """Images of equal shape together, of about PIXELS at once."""
     shapes: dict[tuple[int, int], list[int]] = {}
@@ -269,28 +294,113 @@ def _unpacked(places: list[bytes], bits: list[bytes]) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(len(places)), [len(b) // (BITS // 8) for b in bits]), place, bit
 
 
-def _search(images: DataFrame, ids: list[int], tables: Tables) -> DataFrame:
+MATCHES = "query_id long, id long, votes long"
+
+
+def _batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["query_id", "id", "votes"])
+
+
+def _search(images: DataFrame, ids: list[int], places: list[bytes], bits: list[bytes]) -> DataFrame:
+    """Matches of the images with queries whose tables go to the tasks."""
+    owner, place, bit = _unpacked(places, bits)
+    other, other_bit = mirrored(place, bit)
+    tables = Tables(
+        np.concatenate([2 * owner, 2 * owner + 1]), np.concatenate([place, other]), np.concatenate([bit, other_bit])
+    )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("id").to_pylist()
             places, bits = batch.column("places").to_pylist(), batch.column("bits").to_pylist()
-            found = []
+            found: dict[tuple[int, int], int] = {}
             for at in range(0, len(own), IMAGES):
-                corners = _unpacked(places[at : at + IMAGES], bits[at : at + IMAGES])
-                copies = ((ids[q], own[at + i], n) for q, i, n in tables.copies(*corners))
-                found += [x for x in copies if x[0] != x[1]]
-            if found:
-                q, i, n = zip(*found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64())],
-                    names=["query_id", "id", "votes"],
-                )
+                for q, i, n in tables.copies(*_unpacked(places[at : at + IMAGES], bits[at : at + IMAGES])):
+                    key = ids[q // 2], own[at + i]
+                    found[key] = max(n, found.get(key, 0))
+            rows = [(q, i, n) for (q, i), n in found.items() if q != i]
+            if rows:
+                yield _batch(rows)
+
+    return images.select("id", "places", "bits").mapInArrow(run, MATCHES)
+
 
-    return images.select("id", "places", "bits").mapInArrow(run, "query_id long, id long, votes long")
+CORNER = "band int, value int, id long, corner long, x float, y float, scale float, turn float, words array<long>, values array<int>"
 
 
-def near_copies(media: DataFrame, is_query: Column) -> DataFrame:
-    """(kind, id, class_id, votes) of media(id, media).
+def _banded(images: DataFrame, sides: int) -> DataFrame:
+    """A row per corner and band; with two sides the mirrored corners too, with odd numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            for i, places, bits in zip(ids, batch.column("places").to_pylist(), batch.column("bits").to_pylist()):
+                _, place, bit = _unpacked([places], [bits])
+                for side in range(sides):
+                    at, own = mirrored(place, bit) if side else (place, bit)
+                    n, values = len(own), bands(own)
+                    words = np.ascontiguousarray(own).view(np.int64)
+                    flat = lambda x: np.tile(x, BANDS)
+                    lists = lambda x: pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, x.size * BANDS + 1, x.shape[1], dtype=np.int32)), pa.array(np.tile(x, (BANDS, 1)).ravel())
+                    )
+                    columns = [
+                        pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), n)), pa.array(values.T.ravel().astype(np.int32)),
+                        pa.array(np.full(n * BANDS, i, dtype=np.int64)), pa.array(flat(2 * np.arange(n, dtype=np.int64) + side)),
+                        *(pa.array(flat(at[:, k])) for k in range(4)), lists(words), lists(values.astype(np.int32)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CORNER.split(", ")])
+
+    return images.select("id", "places", "bits").mapInArrow(run, CORNER)
+
+
+def _joined(images: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same matches by a join of the Hamming tables of both sides."""
+    q = _banded(queries, 2).select("band", "value", *(F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "scale", "turn", "words", "values")))
+    both = q.join(_banded(images, 1), ["band", "value"]).where("q_id != id")
+    equal = F.zip_with("q_values", "values", lambda a, b: a == b)
+    differ = F.aggregate(
+        F.zip_with("q_words", "words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x
+    )
+    # A pair that shares several bands counts in the first.
+    near = both.where(F.array_position(equal, True) == F.col("band") + 1).where(differ <= MOST_BITS)
+    ends = ("x", "y", "scale", "turn")
+    near = near.select("q_id", "id", (F.col("q_corner") % 2).alias("side"), "q_corner", *(f"q_{c}" for c in ends), *ends)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            col = lambda c: rows.column(c).to_numpy()
+            keys = np.stack([col("q_id"), col("id"), col("side")])
+            first = np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]
+            pair, of = np.cumsum(first) - 1, np.flatnonzero(first)
+            a, b = np.stack([col(f"q_{c}") for c in ends], axis=1), np.stack([col(c) for c in ends], axis=1)
+            best: dict[tuple[int, int], int] = {}
+            for p, n in voted(pair, col("q_corner"), a, b).items():
+                key = int(keys[0, of[p]]), int(keys[1, of[p]])
+                best[key] = max(n, best.get(key, 0))
+            if best:
+                yield _batch([(q, i, n) for (q, i), n in best.items()])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= CANDIDATES // 8:
+                rows = pa.Table.from_batches(held)
+                last = rows.column("q_id").to_numpy() == rows.column("q_id")[-1].as_py()
+                end = int(np.argmax(last & (rows.column("id").to_numpy() == rows.column("id")[-1].as_py())))
+                if end:
+                    yield from flush(rows.slice(0, end))
+                held = rows.slice(end).to_batches()
+        if held and sum(x.num_rows for x in held):
+            yield from flush(pa.Table.from_batches(held))
+
+    dealt = near.repartition("q_id", "id").sortWithinPartitions("q_id", "id", "side")
+    return dealt.mapInArrow(run, MATCHES)
+
+
+def near_copies(media: DataFrame, is_query: Column, table_bytes: int | None = None) -> DataFrame:
+    """(kind, id, class_id, votes) of media(id, media); table_bytes takes the place of TABLE_BYTES.
 
     kind "member": each row's id and its class, the smallest id with the same bytes. kind "match": a
     class that holds a query, as id, and another class that is a cropped or edited copy of it.
@@ -310,22 +420,16 @@ def near_copies(media: DataFrame, is_query: Column) -> DataFrame:
     chosen = classes.where("class_id IS NOT NULL").select(F.col("class_id").alias("id"), "content", "asks")
     described = rows.where("length(bits) > 0").join(chosen, ["id", "content"])
     described, _ = cut(described.dropDuplicates(["id", "content"]), "described")
-    out, ids, places, bits = members, [], [], []
-
-    def block() -> DataFrame:
-        found = _search(described, list(ids), Tables(*_unpacked(places, bits)))
-        return found.select(
-            F.lit("match").alias("kind"), F.col("query_id").alias("id"), F.col("id").alias("class_id"), "votes"
-        )
-
-    for r in described.where("asks").select("id", "places", "bits").toLocalIterator():
-        ids.append(r["id"])
-        places.append(bytes(r["places"]))
-        bits.append(bytes(r["bits"]))
-        if len(ids) == QUERY_BLOCK:
-            out = out.unionByName(block())
-            ids, places, bits = [], [], []
-    return out.unionByName(block()) if ids else out
+    asking = described.where("asks").select("id", "places", "bits")
+    size = asking.agg(F.sum(F.length("bits"))).first()[0] or 0
+    if size <= (TABLE_BYTES if table_bytes is None else table_bytes):
+        rows = asking.collect()  # of the size just checked
+        found = _search(described, [r["id"] for r in rows], [bytes(r["places"]) for r in rows], [bytes(r["bits"]) for r in rows])
+    else:
+        found = _joined(described, asking)
+    return members.unionByName(
+        found.select(F.lit("match").alias("kind"), F.col("query_id").alias("id"), F.col("id").alias("class_id"), "votes")
+    )
 
 
 def rendered(vectors: DataFrame, side: int = 64) -> DataFrame:
