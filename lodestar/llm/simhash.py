@@ -6,12 +6,14 @@ fewer, and a group is what links reach.
 
 Plan: documents become fingerprints where they are read; equal fingerprints are one node. Of five
 blocks of bits, two at least agree in a pair that differs in three bits or fewer, so every node goes
-to ten shards, by two blocks each. A shard holds a BK-tree, whose children are keyed by their integer
-Hamming distance to the parent; a search follows only edges within the radius of its own distance. A
-shard tree is dealt to the task that searches it, not broadcast: all trees together grow with the
-corpus, and so have no proven size bound. Shards above MOST nodes are cut into trees of about that
-many, and each piece is searched by each piece, so that a dense group of near copies is shared out.
-Each task passes on a spanning forest of its links, not all pairs.
+to ten shards, by two blocks each. A shard is cut into pieces of about MOST nodes, each of which is a
+BK-tree: children are keyed by their integer Hamming distance to the parent, and a search follows only
+edges within the radius of its own distance. Trees are rows of a table, and each piece searches the trees
+of its shard from its own number on. If all trees together take TREE_BYTES or fewer, they are broadcast, so
+that searches stay where their pieces lie; else, as they grow with the corpus, they go to the searches by a
+join on the shard, whose hot shards adaptive execution splits. A search and a tree meet as two rows of
+bounded size, and a node is never a row per piece. Each task passes on a spanning forest of its links, not
+all pairs.
 
 Cases: null and empty texts have fingerprint zero, and link like any other; texts of one or two words
 have one shingle; a null doc_id takes part in links but never names a group unless all members are
@@ -33,8 +35,8 @@ from .common import connected_components, cut, drop_path
 MOST = 1024
 #: Bits of the five blocks.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Rows that a task handles together, at least.
-ROWS = 200_000
+#: Nodes and edges of trees that a task handles together, at least; bytes of trees that are broadcast, at most.
+ROWS, TREE_BYTES = 100_000, 16 << 20
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -80,18 +82,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 class Forest:
     """BK-trees of many groups, built and searched together.
 
-    group: sorted; fp: distinct within a group. The first node of a group is its root. All nodes
-    descend at once: of those at the same parent and distance, the first becomes the child, and the
-    others go on to it.
+    A group's nodes lie together, and the first is its root. An edge has a key, its parent's place times 65
+    plus the distance, and a child; edges are sorted by key.
     """
 
-    def __init__(self, group: np.ndarray, fp: np.ndarray):
-        self.fp = fp
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-        self.groups, self.roots = group[first], first
-        at = np.repeat(first, np.diff(np.r_[first, len(group)]))
-        todo = np.setdiff1d(np.arange(len(group)), first, assume_unique=True)
-        keys, children = [], []
+    def __init__(self, sizes: np.ndarray, fp: np.ndarray, edges: tuple[np.ndarray, np.ndarray] | None = None):
+        """fp: distinct within a group. Edges that are not given are built: all nodes descend at once; of those at
+        the same parent and distance, the first becomes the child, and the others go on to it."""
+        self.fp, self.sizes = fp, sizes
+        self.roots = np.cumsum(sizes) - sizes
+        if edges:
+            self.keys, self.children = edges
+            return
+        at = np.repeat(self.roots, sizes)
+        todo = np.flatnonzero(at != np.arange(len(fp)))
+        keys, children = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(todo):
             parent = at[todo]
             key = parent * 65 + np.bitwise_count(fp[todo] ^ fp[parent])
@@ -103,17 +108,38 @@ class Forest:
             child = np.repeat(todo[new], np.diff(np.r_[np.flatnonzero(new), len(key)]))
             at[todo] = child
             todo = todo[~new]
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        key = np.concatenate(keys)
         order = np.argsort(key)
-        self.keys = key[order]
-        self.children = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
+        self.keys, self.children = key[order], np.concatenate(children)[order]
+
+    def trees(self) -> list[bytes]:
+        """Each group's nodes and edges, counted from its own first node."""
+        ends = np.searchsorted(self.keys, 65 * np.r_[self.roots, len(self.fp)])
+        out = []
+        for root, size, i, j in zip(self.roots.tolist(), self.sizes.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            parts = self.fp[root : root + size].view(np.int64), self.keys[i:j] - 65 * root, self.children[i:j] - root
+            out.append(np.concatenate(parts).tobytes())
+        return out
+
+    @classmethod
+    def of(cls, trees: list[bytes]) -> Forest:
+        """The forest of trees; a tree of n nodes has n - 1 edges."""
+        sizes = np.asarray([(len(t) // 8 + 2) // 3 for t in trees], dtype=np.int64)
+        flat = np.frombuffer(b"".join(trees), dtype=np.int64)
+        begin = np.cumsum(3 * sizes - 2) - (3 * sizes - 2)
+        roots = np.cumsum(sizes) - sizes
+
+        def part(start: np.ndarray, count: np.ndarray, add: np.ndarray) -> np.ndarray:
+            place = np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            return flat[place] + np.repeat(add, count)
+
+        fp = part(begin, sizes, 0 * roots).view(np.uint64)
+        keys = part(begin + sizes, sizes - 1, 65 * roots)
+        return cls(sizes, fp, (keys, part(begin + 2 * sizes - 1, sizes - 1, roots)))
 
     def search(self, group: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) within the radius, level by level."""
-        i = np.searchsorted(self.groups, group)
-        known = i < len(self.groups)
-        known[known] = self.groups[i[known]] == group[known]
-        q, node = np.flatnonzero(known), self.roots[i[known]]
+        """Pairs (query, node) within the radius, level by level; group tells each query's tree."""
+        q, node = np.arange(len(fp)), self.roots[group]
         while len(q):
             d = np.bitwise_count(fp[q] ^ self.fp[node]).astype(np.int64)
             near = d <= radius
@@ -138,29 +164,25 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def link_groups(gid: np.ndarray, role: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole groups, as a spanning forest. role 0: a tree's node that searches its own tree;
-    1: a tree's node; 2: a fingerprint that searches the tree."""
-    tree = np.flatnonzero(role < 2)
-    asks = np.flatnonzero(role != 1)
-    if not len(tree) or not len(asks):
-        return fp[:0], fp[:0]
-    forest = Forest(gid[tree], fp[tree])
+def link_trees(asks: list[bytes], trees: list[bytes], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fingerprints of each of asks and the nodes of the tree beside it, as a spanning forest."""
+    forest = Forest.of(trees)
+    fp = np.frombuffer(b"".join(asks), dtype=np.uint64)
+    group = np.repeat(np.arange(len(asks)), [len(x) // 8 for x in asks])
+    every, place = np.unique(np.concatenate([fp, forest.fp]), return_inverse=True)
     left, right = [], []
-    for q, node in forest.search(gid[asks], fp[asks], radius):
-        q, node = asks[q], tree[node]
-        real = q != node
-        left.append(q[real])
-        right.append(node[real])
-    label = spanning(len(fp), np.concatenate(left), np.concatenate(right))
-    own = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[own], fp[label[own]]
-
-
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): links between distinct fingerprints `fp` that join what all links join."""
-    if radius > 3:
-        raise ValueError("two of five blocks agree only up to three differing bits")
+    for q, node in forest.search(group, fp, radius):
+        a, b = place[q], place[len(fp) + node]
+        real = a != b
+        left.append(a[real])
+        right.append(b[real])
+    label = spanning(len(every), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(every))
+    own = np.flatnonzero(label != np.arange(len(every)))
+    return every[own], every[label[own]]
+
+
+def pieces(nodes: DataFrame) -> DataFrame:
+    """(shard, piece, fps): the nodes of shards with more than one, about MOST to a piece, as bytes."""
     shifts, at = [], 64
     for bits in BLOCKS:
         at -= bits
@@ -172,56 +194,73 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     ]
     dealt = nodes.select("fp", F.explode(F.array(*shards)).alias("shard"))
     shared = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
-    pieces = F.ceil(F.col("n") / MOST).cast("int")
-    pieced = dealt.join(shared, "shard").select(
-        "fp", "shard", pieces.alias("pieces"), F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("own")
-    )
-    pair = F.transform(
-        F.sequence(F.lit(0), F.col("pieces") - 1),
-        lambda c: F.struct(
-            F.least("own", c).alias("low"),
-            F.greatest("own", c).alias("high"),
-            F.when(F.col("own") == c, 0).when(F.col("own") < c, 1).otherwise(2).alias("role"),
-        ),
-    )
-    rows = pieced.select("fp", "shard", F.explode(pair).alias("p")).select(
-        (F.shiftleft("shard", 32) + F.shiftleft(F.col("p.low").cast("long"), 16) + F.col("p.high")).alias("gid"),
-        F.col("p.role").alias("role"),
-        "fp",
+    shared, _ = cut(shared, "shards")
+    number = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / MOST)).alias("piece")
+    return dealt.join(shared, "shard").select("shard", number, "fp").groupBy("shard", "piece").agg(
+        F.sort_array(F.collect_list("fp")).alias("fps")
     )
 
+
+def trees_of(cells: DataFrame) -> DataFrame:
+    """(shard, piece, asks, tree) of pieces: the nodes, and the BK-tree of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fps")
+            sizes = np.diff(np.asarray(fps.offsets)).astype(np.int64)
+            fp = np.asarray(fps.flatten()).view(np.uint64)
+            ends = np.r_[0, 8 * np.cumsum(sizes)].tolist()
+            data = fp.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("shard"),
+                    batch.column("piece"),
+                    pa.array([data[i:j] for i, j in zip(ends, ends[1:])], pa.binary()),
+                    pa.array(Forest(sizes, fp).trees(), pa.binary()),
+                ],
+                names=["shard", "piece", "asks", "tree"],
+            )
+
+    return cells.mapInArrow(run, "shard long, piece long, asks binary, tree binary")
+
+
+def links(nodes: DataFrame, radius: int = 3, tree_bytes: int | None = None) -> DataFrame:
+    """(a, b): links between distinct fingerprints `fp` that join what all links join. tree_bytes takes the place
+    of TREE_BYTES."""
+    if radius > 3:
+        raise ValueError("two of five blocks agree only up to three differing bits")
+    table, _ = cut(trees_of(pieces(nodes)), "trees")
+    trees = table.select("shard", F.col("piece").alias("other"), "tree")
+    size = table.agg(F.sum(F.length("tree"))).first()[0] or 0
+    if size <= (TREE_BYTES if tree_bytes is None else tree_bytes):
+        trees = F.broadcast(trees)
+    rows = table.select("shard", "piece", "asks").join(trees, "shard").where("piece <= other").select("asks", "tree")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        count = 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, count
-            gid, role, fp = (np.concatenate(x) for x in zip(*held))
-            end = len(gid) if last else int(np.searchsorted(gid, gid[-1]))
-            if end:
-                # groups of bounded work: the squares of their sizes
-                sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, gid[1:end] != gid[: end - 1]]), end])
-                work = np.cumsum(sizes.astype(np.int64) ** 2) // 4_000_000
-                ends = np.cumsum(sizes)
-                cuts = np.r_[0, ends[np.flatnonzero(np.r_[work[1:] != work[:-1], True])]]
-                for i, j in zip(cuts, cuts[1:]):
-                    a, b = link_groups(gid[i:j], role[i:j], fp[i:j].view(np.uint64), radius)
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
-                        )
-            held = [[gid[end:], role[end:], fp[end:]]]
-            count = len(gid) - end
+        asks: list[bytes] = []
+        trees: list[bytes] = []
+        work = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            a, b = link_trees(asks, trees, radius)
+            if len(a):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"]
+                )
 
         for batch in batches:
-            held.append([np.asarray(batch.column(c)) for c in ("gid", "role", "fp")])
-            count += batch.num_rows
-            if count >= ROWS:
-                yield from flush(False)
-        if count:
-            yield from flush(True)
-
-    return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a long, b long")
+            for ask, tree in zip(batch.column("asks").to_pylist(), batch.column("tree").to_pylist()):
+                asks.append(ask)
+                trees.append(tree)
+                # Pairs of nodes bound what a search holds.
+                work += len(ask) // 8 * (len(tree) // 24 + 1) // 20 + len(tree) // 24 + 1
+                if work >= ROWS:
+                    yield from flush()
+                    asks, trees, work = [], [], 0
+        if asks:
+            yield from flush()
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:

@@ -176,8 +176,9 @@ def test_simhash_query(spark, sf_dir, texts):
     assert sorted(map(tuple, got)) == sorted((i, format(fps[i], "016x"), own[i]) for i in fps)
 
 
-@pytest.mark.parametrize("most", [4, 64])
-def test_links_of_a_dense_group(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, size", [(4, None), (64, 0)])
+def test_links_of_a_dense_group(spark, monkeypatch, most, size):
+    """Trees of many pieces, broadcast and joined by shard."""
     monkeypatch.setattr(simhash, "MOST", most)
     rng = random.Random(most)
     center = rng.getrandbits(64)
@@ -189,7 +190,9 @@ def test_links_of_a_dense_group(spark, monkeypatch, most):
         fps.add(x)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    got = {r.node: r.root for r in connected_components(simhash.links(df), "a", "b").collect()}
+    found = simhash.links(df, tree_bytes=size)
+    assert ("broadcast" in found._jdf.queryExecution().logical().toString()) == (size is None)
+    got = {r.node: r.root for r in connected_components(found, "a", "b").collect()}
     classes = {}
     for i, root in groups({x: x for x in fps}).items():
         classes.setdefault(root, set()).add(signed(i))
@@ -197,6 +200,22 @@ def test_links_of_a_dense_group(spark, monkeypatch, most):
         assert {got.get(x, x) for x in members} == {min(members)}
 
 
+def test_trees_search_by_distance():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 1 << 12, n, dtype=np.uint64)) for n in (1, 2, 40, 300)]
+    built = simhash.Forest(np.array([len(x) for x in parts]), np.concatenate(parts))
+    again = simhash.Forest.of(built.trees())
+    assert (again.fp == built.fp).all() and (again.keys == built.keys).all() and (again.children == built.children).all()
+    asks = rng.integers(0, 1 << 12, 50, dtype=np.uint64)
+    for g, own in enumerate(parts):
+        got = set()
+        for q, node in again.search(np.full(50, g), asks, 3):
+            got |= {(int(asks[i]), int(again.fp[n])) for i, n in zip(q, node)}
+        assert got == {(int(a), int(b)) for a in asks for b in own if (int(a) ^ int(b)).bit_count() <= 3}
+
+
 def test_simhash_cases(spark):
     out = simhash.near_duplicates(frame(spark, ODD)).collect()
     assert len(out) == len(ODD)
