@@ -65,7 +65,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 LOADED = {"partsupp": "ps_partkey", "ssb_lineorder": None, "ssb_ddate": None}
 BUCKETS = 8
 
-#: Tables of this application by path and state of their files: reading a footer again takes a job.
+#: Tables of a session by path and state of their files: reading a footer again takes a job.
 _known: dict[tuple, DataFrame] = {}
 
 
@@ -85,11 +85,6 @@ def _remembered(key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     return _known[key]
 
 
-def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    state = _state(spark, f"{sf_dir}/{name}.parquet")
-    return _remembered((spark.sparkContext.applicationId, sf_dir, name, state), lambda: table(spark, sf_dir, name))
-
-
 def shared_folder(spark: SparkSession) -> str | None:
     """Where driver and executors can both write: what spark.checkpoint.dir names. Only sessions in local mode
     without the setting get a temporary folder; others without it have none."""
@@ -107,34 +102,32 @@ def shared_folder(spark: SparkSession) -> str | None:
 _temporary: list[str] = []
 
 
-def _loaded(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
-    """A derived table as stored, bucketed by its key; None if there is no folder for it."""
-    folder = shared_folder(spark)
-    if folder is None:
-        return None
-
-    def make() -> DataFrame:
-        label = f"lodestar_{name}_{uuid.uuid4().hex}"
-        path, own, key = f"{folder}/{label}", spark.sql(DERIVED[name]), LOADED[name]
-        if key is None:
-            own.write.parquet(path)
-            return spark.read.schema(own.schema).parquet(path)
-        write_bucketed(own, label, key, BUCKETS, path)
-        return spark.table(label)
-
-    state = tuple(_state(spark, f"{sf_dir}/{x}.parquet") for x in BASE if re.search(rf"\b{x}\b", DERIVED[name]))
-    return _remembered((spark.sparkContext.applicationId, folder, sf_dir, name, state), make)
+def _stored(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """A derived table, written to the folder and read again; bucketed by its key, if it has one."""
+    label = f"lodestar_{name}_{uuid.uuid4().hex}"
+    path, own, key = f"{folder}/{label}", spark.sql(DERIVED[name]), LOADED[name]
+    if key is None:
+        own.write.parquet(path)
+        return spark.read.schema(own.schema).parquet(path)
+    write_bucketed(own, label, key, BUCKETS, path)
+    return spark.table(label)
 
 
 def register(spark: SparkSession, sf_dir: str, star: bool = False, uses: str = "") -> None:
     """Temporary views of all tables; with star, the star schema's names hide the others. Of LOADED, those that
     `uses` names are read as stored, the others are computed where they are read."""
-    for name in BASE:
-        _base(spark, sf_dir, name).createOrReplaceTempView(name)
+    here = spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), sf_dir  # views belong to a session
+    states = {name: _state(spark, f"{sf_dir}/{name}.parquet") for name in BASE}
+    for name, state in states.items():
+        base = _remembered((*here, name, "", state), lambda: table(spark, sf_dir, name))
+        base.createOrReplaceTempView(name)
+    folder = shared_folder(spark)
     derived = {}
     for name, text in DERIVED.items():
-        df = _loaded(spark, sf_dir, name) if name in LOADED and re.search(rf"\b{name}\b", uses) else None
-        derived[name] = spark.sql(text) if df is None else df
+        state = tuple(s for x, s in states.items() if re.search(rf"\b{x}\b", text))
+        stored = folder if name in LOADED and re.search(rf"\b{name}\b", uses) else None
+        make = (lambda: _stored(spark, name, stored)) if stored else (lambda: spark.sql(text))
+        derived[name] = _remembered((*here, name, stored or "", state), make)
     for name, df in derived.items():
         df.createOrReplaceTempView(name)
     if star:
