@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import date_key, like_segments, rows_in
 from ..operators import relational as R
+from ..plans.costmodel import PLANS, CostModel, Step
 from ..plans.nested import in_set, run_sql
 from ..sources.generate import generated
 from ..sources.schema import (
@@ -247,6 +248,29 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated(spark, "nation").join(generated(spark, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
 
 
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cost model says of its plans, and of a nested one whose inner part runs for each of 100 rows."""
+    rows = []
+    for scale in (1, 20):
+        model = CostModel(scale)
+        rows += [(name, scale, model.estimate(steps).total) for name, steps in PLANS.items()]
+        outer, inner = [Step("scan", "partsupp", ("ps_supplycost",), "ps")], [Step("filter", "ps", ("ps_supplycost",), "f", 0.1)]
+        rows.append(("nested", scale, model.estimate(outer, inner, 100).total))
+    return spark.createDataFrame(rows, "plan string, scale int, ms double").withColumn("ms", F.round("ms", 6))
+
+
+#: The same by its formulas: milliseconds of a fixed part, scanned bytes, and passes over rows.
+_COST = {
+    "select": "29 * 2e5 * s / 1731343 + ceil(2e5 * s / 65536) * 0.026 * 29",
+    "filter": "54 * 2e5 * s / 1731343 + ceil(2e5 * s / 524288) * 4.16 + ceil(2e5 * s / 6 / 65536) * 0.026 * 29",
+    "aggregation": "4 * 8e5 * s / 1731343 + ceil(8e5 * s / 131072) * 0.086",
+    "groupby": "8 * 8e5 * s / 1731343 + ceil(8e5 * s / 131072) * 0.51",
+    "join": "29 * 2e5 * s / 1731343 + 4 * 8e5 * s / 1731343 + ceil(2e5 * s / 1048576) * 1.22 + ceil(8e5 * s / 1048576) * 3.7 "
+    "+ 8e5 * s / 1048576 * 25 * 0.167 + ceil(8e5 * s / 65536) * 0.026 * 25",
+    "nested": "4 * 8e5 * s / 1731343 + 100 * ceil(8e5 * s / 524288) * 4.16",
+}
+
+
 def _new_path(spark: SparkSession) -> str:
     folder = shared_folder(spark)
     if folder is None:
@@ -310,6 +334,13 @@ _OWN: dict[str, tuple[Query, str]] = {
         "WHERE o_orderkey = l_orderkey GROUP BY o_orderstatus",
     ),
     "load_preload": (_preloaded, PRELOADED),
+    "cost_model": (
+        _costs,
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS plan, CAST(s AS INT) AS scale, round(12 + {text}, 6) AS ms FROM (VALUES (1.0e0), (20.0e0)) AS v(s)"
+            for name, text in _COST.items()
+        ),
+    ),
     "generate_nation": (
         _generated,
         "SELECT CAST(i AS INT) AS n_nationkey, concat('NATION_', i) AS n_name, CAST(i % 5 AS INT) AS n_regionkey, "
