@@ -42,8 +42,8 @@ MOST_BITS, LEAST_VOTES = 44, 4
 SHIFT, TURN = 6.0, 3
 #: Share of the strongest response that a corner has at least.
 LEAST_RESPONSE = 0.02
-#: Bytes of descriptors that go to the tasks, at most.
-TABLE_BYTES = 32 << 20
+#: Bytes of descriptors that go to the tasks, at most; their tables take some twelve times that in a worker.
+TABLE_BYTES = 8 << 20
 #: Pixels, corners and candidates that are worked on at once, about.
 PIXELS, CORNERS, CANDIDATES = 1 << 19, 1000, 1 << 20
 #: Images whose corners are looked up together.
@@ -302,20 +302,19 @@ def _batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
 
 
 def _search(images: DataFrame, ids: list[int], places: list[bytes], bits: list[bytes]) -> DataFrame:
-    """Matches of the images with queries whose tables go to the tasks."""
-    owner, place, bit = _unpacked(places, bits)
-    other, other_bit = mirrored(place, bit)
-    tables = Tables(
-        np.concatenate([2 * owner, 2 * owner + 1]), np.concatenate([place, other]), np.concatenate([bit, other_bit])
-    )
+    """Matches of the images with queries whose corners go to the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, place, bit = _unpacked(places, bits)
+        other, other_bit = mirrored(place, bit)
+        both = np.concatenate([place, other]), np.concatenate([bit, other_bit])
+        tables = Tables(np.concatenate([2 * owner, 2 * owner + 1]), *both)
         for batch in batches:
             own = batch.column("id").to_pylist()
-            places, bits = batch.column("places").to_pylist(), batch.column("bits").to_pylist()
+            at_all, bits_all = batch.column("places").to_pylist(), batch.column("bits").to_pylist()
             found: dict[tuple[int, int], int] = {}
             for at in range(0, len(own), IMAGES):
-                for q, i, n in tables.copies(*_unpacked(places[at : at + IMAGES], bits[at : at + IMAGES])):
+                for q, i, n in tables.copies(*_unpacked(at_all[at : at + IMAGES], bits_all[at : at + IMAGES])):
                     key = ids[q // 2], own[at + i]
                     found[key] = max(n, found.get(key, 0))
             rows = [(q, i, n) for (q, i), n in found.items() if q != i]
