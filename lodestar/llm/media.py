@@ -8,8 +8,8 @@ corners meet by Hamming tables, keyed by each of BANDS bands of a descriptor; of
 MOST_BITS differing bits or fewer are matches, and each match votes for a turn, a scale and a shift of the
 query: LEAST_VOTES corners that agree make a copy. No candidate is dropped.
 
-If the queries' descriptors take TABLE_BYTES or fewer, the tables are built once and go to the tasks with
-the function, and images are read where they lie. Otherwise both sides are joined on (band, value), the
+If the queries' descriptors take TABLE_BYTES or fewer, they go to the tasks with the function, which build the
+tables, and images are read where they lie. Otherwise both sides are joined on (band, value), the
 matches of a query and an image meet by a second exchange, and no side is gathered; adaptive execution
 splits values that very many corners have. Both ways give the same rows.
 
