@@ -7,6 +7,9 @@ integer) and TEXT:WIDTH. Names are upper-cased, fields without a colon are skipp
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
+from math import ceil
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ _TYPES = {
     "DATE": T.IntegerType(),
     "TEXT": T.StringType(),
 }
+#: Rows that one task may sort; what a quantile may be wrong by is a share of 1 / ACCURACY of the rows.
+FEW, ACCURACY = 100_000, 10_000
 
 
 def parse_schema(text: str) -> dict[str, T.StructType]:
@@ -85,15 +90,48 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str] = ()) ->
     return df.select(*columns) if columns else df
 
 
+def kth_smallest(df: DataFrame, column: str, k: int) -> Any:
+    """The k-th smallest value of a column, or its largest, if it has fewer; nulls don't count, and without values
+    there is None.
+
+    Approximate quantiles on both sides of the k-th row bound a range, whose ends are ranked exactly. The range
+    shrinks until FEW rows are left: no task sorts all rows.
+    """
+    value = F.col(column)
+    rows = df.select(column).where(value.isNotNull())
+    n = rows.count()
+    k = min(k, n)
+    if k < 1:
+        return None
+    while n > FEW:
+        ends = [max(0.0, (k - 1) / n - 2 / ACCURACY), min(1.0, k / n + 2 / ACCURACY)]
+        low, high = rows.agg(F.percentile_approx(column, ends, ACCURACY)).first()[0]
+        ranks = (F.count_if(test) for test in (value < low, value <= low, value < high, value <= high))
+        below_low, to_low, below_high, to_high = rows.agg(*ranks).first()
+        if below_low < k <= to_low:
+            return low
+        if below_high < k <= to_high:
+            return high
+        if k <= below_low:
+            rows, n = rows.where(value < low), below_low
+        elif k <= below_high:
+            rows, n, k = rows.where((value > low) & (value < high)), below_high - to_low, k - to_low
+        else:
+            rows, n, k = rows.where(value > high), n - to_high, k - to_high
+    return rows.orderBy(column).limit(k).agg(F.max(column)).first()[0]
+
+
 def skewed(df: DataFrame, column: str, share: float, order: Sequence[str]) -> DataFrame:
-    """df with the value of `column` in the first row by `order` put into the first `share` of rows.
+    """df with the value of `column` in the first row by `order` put into the first `share` of rows, rounded up.
+    Nulls come last.
 
-    Which rows come first is decided by a quantile of the first order column, not by numbering all rows
+    Which rows come first is decided by an exact quantile of the first order column, not by numbering all rows
     in one task; ties at the quantile are all taken.
     """
     if not 0 <= share <= 1:
         raise ValueError("share must lie between 0 and 1")
-    first = df.agg(F.min_by(column, F.struct(*order))).scalar()
-    bound = df.agg(F.percentile_approx(order[0], share, 100_000)).scalar()
-    hit: Column = (F.col(order[0]) <= bound) if share else F.lit(False)
+    places = [x for c in order for x in (F.col(c).isNull(), F.col(c))]
+    first = df.agg(F.min_by(column, F.struct(*places))).scalar()
+    bound = kth_smallest(df, order[0], ceil(Decimal(str(share)) * df.count())) if share else None
+    hit: Column = F.lit(False) if bound is None else F.col(order[0]) <= F.lit(bound)
     return df.withColumn(column, F.when(hit, first).otherwise(F.col(column)))

@@ -55,6 +55,23 @@ def test_skew_injection(spark):
         S.skewed(df, "v", 2, ["id"])
 
 
+def test_skew_injection_is_exact(spark):
+    """More rows than an approximate quantile tells apart, ties, and nulls, which come last."""
+    n = 1_200_000
+    df = spark.range(n).select(((F.col("id") * 700_001) % n).alias("id"), F.lit(1).alias("v"))
+    df = df.withColumn("v", F.when(F.col("id") == 0, 7).otherwise(F.col("v")))
+    assert S.skewed(df, "v", 0.3, ["id"]).where("v = 7").agg(F.count("*"), F.max("id")).first() == (360_000, 359_999)
+    for k in (1, 2, 131_073, 599_999, n, n + 5):
+        assert S.kth_smallest(df, "id", k) == min(k, n) - 1
+    ties = df.select((F.col("id") >= 400_000).cast("int").alias("id"))
+    assert [S.kth_smallest(ties, "id", k) for k in (400_000, 400_001)] == [0, 1]
+    odd = spark.createDataFrame([(None, 5), (2, None), (2, 3), (4, 6)], "id int, v int")
+    assert sorted(map(str, S.skewed(odd, "v", 0.25, ["id", "v"]).collect())) == [
+        "Row(id=2, v=3)", "Row(id=2, v=3)", "Row(id=4, v=6)", "Row(id=None, v=5)"
+    ]
+    assert S.kth_smallest(odd.limit(0), "id", 1) is None
+
+
 def test_materialized_form(spark):
     df = spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string")
     assert R.materialized(df) == ["Tuple 0: (int) 1, (float) 2.5, (string) x"]
