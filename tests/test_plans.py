@@ -71,6 +71,25 @@ def test_leave_one_out_edge_cases(spark):
     assert nested.leave_one_out(outer, inner.limit(0), "k", "i", "v", ">", "w").count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 3, 1 << 16])
+def test_counted_pairs(spark, monkeypatch, copies):
+    """Each outer row as often as a join by both inequalities gives it: ties, nulls, NaN, no inner rows."""
+    monkeypatch.setattr(nested, "COPIES", copies)
+    outer = [(i % 40, float(i % 17)) for i in range(90)] + [(3, 2.0)] * 3 + [(None, 9.0), (4, None), (5, float("nan")), (50, -1.0)]
+    inner = [(k, float(k * 7 % 11)) for k in range(30)] + [(None, 0.0), (60, None), (61, float("nan")), (62, 400.0)]
+    o, i = spark.createDataFrame(outer, "k int, v double"), spark.createDataFrame(inner, "i int, w double")
+    plain = o.join(i, (F.col("v") > F.col("w")) & (F.col("k") != F.col("i"))).select("k", "v")
+    got = nested.counted_pairs(o, i, "k", "i", "v", "w")
+    text = lambda df: sorted(map(str, df.collect()))
+    assert got.columns == ["k", "v"] and len(text(plain)) > 1000 and text(got) == text(plain)
+    assert nested.counted_pairs(o, i.limit(0), "k", "i", "v", "w").count() == 0
+
+
+def test_inequalities_plan_no_product(spark, sf_dir):
+    plan = queries.queries()["qf7_unnested"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_compare_all_and_any(spark):
     outer = spark.createDataFrame([(1, 5), (2, 1), (3, 9), (4, None)], "k int, v int")
     inner = spark.createDataFrame([(1, 1), (1, 7), (2, 0), (4, 1), (2, None)], "i int, w int")
