@@ -4,15 +4,20 @@ Words are those of operator 4. A document is the set of its shingles' XXH64; doc
 are one node. Nodes link if their sets' exact Jaccard similarity is 4/5 at least, and a group is what
 links reach.
 
-Plan: candidates share one of BANDS keys of ROWS minima each; a pair at 0.8 has no such key with a
-chance of (1 - 0.8 ** ROWS) ** BANDS, some 1e-8, and a closer pair with a smaller one. Nothing else is
-left to chance. First each node is compared with one other, the smallest of the bucket it shares most
-often, so that a dense group of near copies becomes one component by as many rows as it has members.
-Buckets that still hold several components are cut into pieces of about MOST nodes: each piece is compared
-with itself and the first, which gives two links a node at most, and then, where several components are
-left, each with each. A pair is skipped if it is known to be in one component, or if sizes or parity
+Plan: operator 4 comes first. Sets have SimHash fingerprints over the same shingles, its BK-trees over shards
+link those within RADIUS bits, and what they link is held against the exact similarity. As that radius misses
+most pairs at 0.8, further candidates are those that share one of BANDS keys of ROWS minima each; a pair at
+0.8 has no such key with a chance of (1 - 0.8 ** ROWS) ** BANDS, some 1e-8, and a closer pair with a smaller
+one. Nothing else is left to chance.
+
+Each node is compared with one other, the smallest of the bucket it shares most often; then buckets are cut
+into pieces of about MOST nodes. In each node's largest bucket, each piece is compared with itself and the
+first, so that a dense group becomes one component by a few rows a node, not by some for each of its buckets.
+At last, in every bucket that still holds several components, a piece is compared with itself, and nodes
+outside the bucket's most frequent component with all pieces: a pair across pieces without such a node is in
+one component already. A pair is skipped if it is known to be in one component, or if sizes or parity
 bitmaps (a lower bound of the symmetric difference) rule 0.8 out. Each task passes on a spanning
-forest. Only texts that share a bucket are moved.
+forest. Only texts that have a candidate are moved.
 
 Cases: null and empty texts have the empty set and are one group; a text of fewer than five words has
 one shingle; null ids and repeated rows as in operator 4.
@@ -28,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, drop_path
-from .simhash import labelled
+from .simhash import labelled, links, majority, shingle_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 60, 6
+#: Bits by which fingerprints of candidates differ, at most.
+RADIUS = 3
 #: Nodes of a piece, about; bits of a parity bitmap; shingles that are hashed at once.
 MOST, PARITY, CHUNK = 128, 2048, 4096
 #: Bytes of sets that a task keeps for later groups, about.
@@ -42,14 +49,7 @@ _ODD = np.random.default_rng(5).integers(0, 2**31, (BANDS * ROWS, 1), dtype=np.u
 
 def shingles(text: str | None) -> np.ndarray:
     """The set of shingles, as sorted hashes."""
-    from xxhash import xxh64_digest
-
-    words = (text or "").encode().lower().split()
-    if len(words) < SHINGLE:
-        hashes = xxh64_digest(b" ".join(words), 42) if words else b""
-    else:
-        hashes = b"".join([xxh64_digest(b" ".join(x), 42) for x in zip(*(words[i:] for i in range(SHINGLE)))])
-    return np.unique(np.frombuffer(hashes, dtype=np.uint64))
+    return np.unique(np.frombuffer(shingle_hashes(text, SHINGLE), dtype=np.uint64))
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -68,15 +68,17 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, keys): fp stands for the set of shingles."""
+    """(doc_id, text_hash, fp, sim, keys): fp stands for the set of shingles, sim is their SimHash fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            fps, keys = [], []
+            fps, sims, keys = [], [], []
             for text in batch.column("text").to_pylist():
-                own = shingles(text)
+                hashes = shingle_hashes(text, SHINGLE)
+                sims.append(majority(hashes))
+                own = np.unique(np.frombuffer(hashes, dtype=np.uint64))
                 fps.append(xxh64_intdigest(own.tobytes()))
                 keys.append(band_keys(own))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
@@ -86,13 +88,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                     batch.column("doc_id"),
                     batch.column("text_hash"),
                     pa.array(np.asarray(fps, dtype=np.uint64).view(np.int64)),
+                    pa.array(np.asarray(sims, dtype=np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
                 ],
-                names=["doc_id", "text_hash", "fp", "keys"],
+                names=["doc_id", "text_hash", "fp", "sim", "keys"],
             )
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long, sim long, keys array<long>")
 
 
 def _parity(own: np.ndarray) -> np.ndarray:
@@ -101,7 +104,8 @@ def _parity(own: np.ndarray) -> np.ndarray:
 
 
 def link_group(role: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between components `label` of a group, as a spanning forest. role as in simhash.link_groups."""
+    """Links between components `label` of a group, as a spanning forest. Nodes of role 0 are compared with each
+    other, those of role 2 with all others but their like; role 1 is only compared with."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     bits = np.stack([_parity(x) for x in sets])
     root = label.copy()
@@ -124,7 +128,7 @@ def link_group(role: np.ndarray, label: np.ndarray, sets: list[np.ndarray]) -> l
 
 
 def _compared(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links in the groups (key, low, high) of rows(key, low, high, role, fp, label)."""
+    """(a, b): links in the groups (key, low) of rows(key, low, role, fp, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -149,27 +153,47 @@ def _compared(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 )
             own.clear()
 
-        names = ("key", "low", "high", "role", "fp", "label", "text")
+        names = ("key", "low", "role", "fp", "label", "text")
         for batch in batches:
-            for key, low, high, role, fp, label, text in zip(*(batch.column(c).to_pylist() for c in names)):
-                if (key, low, high) != now:
+            for key, low, role, fp, label, text in zip(*(batch.column(c).to_pylist() for c in names)):
+                if (key, low) != now:
                     if own:
                         yield from flush()
-                    now = (key, low, high)
+                    now = (key, low)
                 own.append((role, fp, label, set_of(fp, text)))
         if own:
             yield from flush()
 
-    dealt = rows.join(texts, "fp").select("key", "low", "high", "role", "fp", "label", "text")
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    dealt = rows.join(texts, "fp").select("key", "low", "role", "fp", "label", "text")
+    dealt = dealt.repartition("key", "low").sortWithinPartitions("key", "low")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _with_one(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of each node with the smallest of the bucket that it shares most often."""
+def _by_simhash(fps: DataFrame) -> DataFrame:
+    """(fp, key): pairs of sets that operator 4 links: sets of one fingerprint with its smallest set, and the smallest
+    sets of linked fingerprints, as the smaller linked to a larger one's."""
+    sims = fps.groupBy("sim").agg(F.min("fp").alias("one"))
+    sims, _ = cut(sims, "sims")
+    found, path = cut(links(sims.select(F.col("sim").alias("fp")), RADIUS), "sim_links")
+    one = lambda c: sims.select(F.col("sim").alias(c), F.col("one").alias(f"one_{c}"))
+    pairs = found.join(one("a"), "a").join(one("b"), "b").select(
+        F.greatest("one_a", "one_b").alias("fp"), F.least("one_a", "one_b").alias("key")
+    )
+    same = fps.select("sim", "fp").distinct().join(sims, "sim").where("fp != one").select("fp", F.col("one").alias("key"))
+    out, _ = cut(pairs.unionByName(same).distinct(), "sim_pairs")
+    drop_path(fps.sparkSession, path)
+    return out
+
+
+def _with_one(members: DataFrame) -> DataFrame:
+    """(fp, key): each node with the smallest of the bucket that it shares most often."""
     most = members.where("fp != least").groupBy("fp", "least").agg(F.sum("weight").alias("n"))
-    star = most.groupBy("fp").agg(F.max(F.struct("n", "least")).alias("x")).select("fp", F.col("x.least").alias("key"))
-    star, path = cut(star, "stars")
+    return most.groupBy("fp").agg(F.max(F.struct("n", "least")).alias("x")).select("fp", F.col("x.least").alias("key"))
+
+
+def _of_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among pairs(fp, key)."""
+    star, path = cut(pairs.distinct(), "stars")
     pieces = star.groupBy("key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("pieces"))
     asks = pieces.select(
         "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("low"), F.lit(2).alias("role"), F.col("key").alias("fp")
@@ -177,36 +201,38 @@ def _with_one(members: DataFrame, texts: DataFrame) -> DataFrame:
     found = star.join(pieces, "key").select(
         "key", F.pmod(F.xxhash64("fp"), "pieces").cast("int").alias("low"), F.lit(1).alias("role"), "fp"
     )
-    rows = asks.unionByName(found).select("key", "low", F.lit(0).alias("high"), "role", "fp", F.col("fp").alias("label"))
+    rows = asks.unionByName(found).select("key", "low", "role", "fp", F.col("fp").alias("label"))
     out, _ = cut(_compared(rows, texts), "links")
-    drop_path(members.sparkSession, path)
+    drop_path(pairs.sparkSession, path)
     return out
 
 
 def _in_pieces(members: DataFrame, labels: DataFrame, texts: DataFrame, whole: bool) -> DataFrame:
-    """Links in the buckets that hold several components, by labels(fp, root): of all pieces, or at first of each
-    with itself and the first piece, which is all for two pieces or fewer."""
+    """Links in the buckets that hold several components, by labels(fp, root): all, or at first, in each node's
+    largest bucket of more than MOST, those within pieces and with the first piece."""
     if whole:
-        members = members.where(F.col("n") > 2 * MOST)
-    told = members.select("key", "n", "fp").join(labels, "fp", "left")
-    told, path = cut(told.select("key", "n", "fp", F.coalesce("root", "fp").alias("label")), "told")
-    open_ = told.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+        chosen = members.select("key", "n", "fp")
+    else:
+        largest = members.where(F.col("n") > MOST).groupBy("fp").agg(F.max(F.struct("n", "key")).alias("x"))
+        chosen = largest.select("x.key", "x.n", "fp")
     pieces = F.ceil(F.col("n") / MOST).cast("int")
-    pieced = told.join(open_, "key").select(
-        "key", "fp", "label", pieces.alias("pieces"), F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("own")
-    )
+    told = chosen.join(labels, "fp", "left").select(
+        "key", "fp", F.coalesce("root", "fp").alias("label"), pieces.alias("pieces"),
+        F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("own"),
+    )
+    told, path = cut(told, "told")
+    counts = told.groupBy("key", "label").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("x"))
+    open_ = open_.where("labels > 1").select("key", F.col("x.label").alias("lead"))
+    # A row for each piece, not for each node.
+    pieced = told.groupBy("key", "pieces", "own").agg(F.collect_list(F.struct("fp", "label")).alias("nodes"))
+    nodes = pieced.join(open_, "key").select("key", "pieces", "own", "lead", F.explode("nodes").alias("x"))
+    nodes = nodes.select("key", "pieces", "own", "lead", "x.*")
     others = F.sequence(F.lit(0), F.col("pieces") - 1)
-    if not whole:
-        others = F.when(F.col("own") == 0, others).otherwise(F.array(F.lit(0), "own"))
-    pair = F.transform(
-        others,
-        lambda c: F.struct(
-            F.least("own", c).alias("low"),
-            F.greatest("own", c).alias("high"),
-            F.when(F.col("own") == c, 0).when(F.col("own") < c, 1).otherwise(2).alias("role"),
-        ),
-    )
-    rows = pieced.select("key", "fp", "label", F.explode(pair).alias("p")).select("key", "p.*", "fp", "label")
+    spread = F.col("label") != F.col("lead") if whole else F.col("own") == 0
+    targets = F.when(spread, others).otherwise(F.array("own"))
+    rows = nodes.select("key", "own", "fp", "label", F.explode(targets).alias("low"))
+    rows = rows.select("key", "low", F.when(F.col("own") == F.col("low"), 0).otherwise(2).alias("role"), "fp", "label")
     out, _ = cut(_compared(rows, texts), "links")
     drop_path(members.sparkSession, path)
     return out
@@ -229,18 +255,20 @@ def components(docs: DataFrame) -> DataFrame:
     members, members_path = cut(bands.join(shared.drop("same"), "key"), "members")
     drop_path(spark, bands_path)
     drop_path(spark, shared_path)
-    wanted, wanted_path = cut(members.select("fp").distinct().join(nodes, "fp").select("fp", "one.*"), "wanted")
+    pairs = _by_simhash(fps)
+    asked = members.select("fp").unionByName(pairs.select("fp")).unionByName(pairs.select(F.col("key").alias("fp")))
+    wanted, wanted_path = cut(asked.distinct().join(nodes, "fp").select("fp", "one.*"), "wanted")
     texts = docs.select(key.alias("_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"), "text")
     texts = texts.join(wanted, ["_key", "_hash"]).groupBy("fp").agg(F.first("text").alias("text"))
     texts, texts_path = cut(texts, "texts")
     drop_path(spark, wanted_path)
-    found = _with_one(members, texts)
+    found = _of_pairs(pairs.unionByName(_with_one(members)), texts)
     for whole in (False, True):
         labels, _ = cut(connected_components(found, "a", "b").withColumnRenamed("node", "fp"), "labels")
         more = _in_pieces(members, labels, texts, whole)
         # A link from each node to its component's root stands for all links so far.
         found = labels.where("fp != root").select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(more)
-    out = labelled(fps.drop("keys"), found)
+    out = labelled(fps.drop("keys", "sim"), found)
     for path in (members_path, texts_path):
         drop_path(spark, path)
     return out

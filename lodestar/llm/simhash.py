@@ -39,19 +39,20 @@ BLOCKS = (13, 13, 13, 13, 12)
 ROWS, TREE_BYTES = 100_000, 16 << 20
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint, as an unsigned integer."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
+    """The shingles' hashes, 8 bytes each, repeats included."""
     from xxhash import xxh64_digest
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return b""
     if len(words) < shingle:
-        hashes = xxh64_digest(b" ".join(words), seed)
-    else:
-        hashes = b"".join(
-            [xxh64_digest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))]
-        )
+        return xxh64_digest(b" ".join(words), seed)
+    return b"".join([xxh64_digest(b" ".join(x), seed) for x in zip(*(words[i:] for i in range(shingle)))])
+
+
+def majority(hashes: bytes) -> int:
+    """The bits that more than half of the hashes have, as an unsigned integer."""
     n = len(hashes) // 8
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 100_000):
@@ -60,6 +61,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint, as an unsigned integer."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, text_hash, fp): fp as a signed long; text_hash tells rows of the same doc_id apart."""
 

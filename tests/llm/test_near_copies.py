@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestar.llm import nearcopies
+from lodestar.llm import nearcopies, simhash
 
 
 def plain_set(text):
@@ -79,6 +79,42 @@ def test_groups_of_edited_copies(spark, monkeypatch, most):
     assert [got[i] for i in range(len(texts))] == roots
 
 
+def test_simhash_links_are_held_against_similarity(spark, monkeypatch):
+    """Without any band, operator 4's links remain; those below 0.8 don't count."""
+    monkeypatch.setattr(nearcopies, "band_keys", lambda own: np.zeros(0, np.int64))
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(words), edited(rng, words, 1)]
+    texts += ["same words each time " * n for n in (30, 40)] + ["a", "b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.components(df).collect()}
+    roots = plain_groups(texts)
+    assert all(roots[got[i]] == roots[i] for i in got)
+    near = [i for i in range(0, 60, 2) if (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[i + 1], 5)).bit_count() <= 3]
+    assert len(near) > 5 and all(got[i + 1] == i for i in near)
+    assert got[61] == 60 and got[62] != got[63]
+
+
+def test_rows_of_a_dense_group(spark, monkeypatch):
+    """A node is some rows for each of its buckets at most, not one for each piece of each."""
+    monkeypatch.setattr(nearcopies, "MOST", 16)
+    made = []
+    compared = nearcopies._compared
+    monkeypatch.setattr(nearcopies, "_compared", lambda rows, texts: made.append(rows.count()) or compared(rows, texts))
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [edited(rng, words, 1) for _ in range(400)]
+    texts += [edited(rng, words, 14) for _ in range(10)]  # in the group's buckets, and not in the group
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nearcopies.components(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_groups(texts)
+    keys = Counter(k for t in set(texts) for k in set(nearcopies.band_keys(nearcopies.shingles(t)).tolist()))
+    members = sum(n for n in keys.values() if n > 1)
+    assert sum(made) < 3 * members
+
+
 def test_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "a"), (5, "a B"), (5, "a b"), (6, "é " * 3000), (None, "a b"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
