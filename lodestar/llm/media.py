@@ -171,63 +171,106 @@ class Tables:
 
     def __init__(self, owner: np.ndarray, place: np.ndarray, bits: np.ndarray):
         self.owner, self.place = owner, place
-        self.words = np.ascontiguousarray(bits).view(np.uint64)
+        self.words = np.asfortranarray(np.ascontiguousarray(bits).view(np.uint64))
         values = bands(bits)
         self.order = [np.argsort(values[:, k], kind="stable") for k in range(BANDS)]
-        self.sorted = [values[o, k] for k, o in enumerate(self.order)]
-
-    def matches(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (corner, query corner) that share a band and differ in few bits."""
-        values, n = bands(bits), len(self.owner)
+        #: Of each band: the values that occur, and where the corners of each start in the order.
+        self.values, self.starts = [], []
+        for k, o in enumerate(self.order):
+            own = values[o, k]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+            self.values.append(own[first])
+            self.starts.append(np.r_[first, len(own)])
+
+    def lookup(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(band, corner): where the query corners of the same value start in the band's order, and how many there are."""
+        values = bands(bits)
+        lo, count = np.zeros((2, BANDS, len(bits)), dtype=np.int64)
+        for k in range(BANDS if len(self.owner) else 0):
+            at = np.minimum(np.searchsorted(self.values[k], values[:, k]), len(self.values[k]) - 1)
+            lo[k] = self.starts[k][at]
+            count[k] = np.where(self.values[k][at] == values[:, k], self.starts[k][at + 1] - lo[k], 0)
+        return lo, count
+
+    def matches(self, bits: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (corner, query corner) that share a band and differ in few bits, from the corners' lookup. Bits are
+        compared a word at a time, and only of pairs that may still match; each pair is then told once."""
+        words, n = np.asfortranarray(np.ascontiguousarray(bits).view(np.uint64)), len(self.owner)
         found = []
         for k in range(BANDS):
-            lo = np.searchsorted(self.sorted[k], values[:, k])
-            count = np.searchsorted(self.sorted[k], values[:, k], side="right") - lo
-            m = np.repeat(np.arange(len(bits)), count)
-            q = self.order[k][np.repeat(lo - np.cumsum(count) + count, count) + np.arange(len(m))]
+            m = np.repeat(np.arange(len(bits)), count[k])
+            q = self.order[k][np.repeat(lo[k] - np.cumsum(count[k]) + count[k], count[k]) + np.arange(len(m))]
+            differ = np.zeros(len(m), dtype=np.uint16)
+            for own, other in zip(words.T, self.words.T):
+                differ += np.bitwise_count(own[m] ^ other[q])
+                near = np.flatnonzero(differ <= MOST_BITS)
+                m, q, differ = m[near], q[near], differ[near]
             found.append(m * n + q)
-        pairs = np.unique(np.concatenate(found))
-        m, q = pairs // n, pairs % n
-        words = np.ascontiguousarray(bits).view(np.uint64)
-        near = np.bitwise_count(words[m] ^ self.words[q]).sum(axis=1) <= MOST_BITS
-        return m[near], q[near]
+        pairs = np.sort(np.concatenate(found))
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]]
+        return pairs // n, pairs % n
 
     def copies(self, owner: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(query, image, votes) where votes for one turn, scale and shift suffice. Images, whose corners
         lie together, are taken as many at a time as CANDIDATES allow; one is never cut."""
         if not len(owner) or not len(self.owner):
             return
-        values = bands(bits)
-        count = np.zeros(len(owner), dtype=np.int64)
-        for k in range(BANDS):
-            count += np.searchsorted(self.sorted[k], values[:, k], side="right")
-            count -= np.searchsorted(self.sorted[k], values[:, k])
+        lo, count = self.lookup(bits)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        part = (np.cumsum(np.add.reduceat(count, first)) - 1) // CANDIDATES
+        part = (np.cumsum(np.add.reduceat(count.sum(axis=0), first)) - 1) // CANDIDATES
         cuts = np.r_[first[np.r_[True, part[1:] != part[:-1]]], len(owner)]
         for i, j in zip(cuts, cuts[1:]):
-            yield from self._copies(owner[i:j], place[i:j], bits[i:j])
-
-    def _copies(self, owner: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        m, q = self.matches(bits)
-        if not len(m):
-            return
-        size = int(owner.max()) + 1
-        pair = self.owner[q].astype(np.int64) * size + owner[m]
-        for p, c in voted(pair, q, self.place[q], place[m]).items():
-            yield p // size, p % size, c
+            m, q = self.matches(bits[i:j], lo[:, i:j], count[:, i:j])
+            m += i
+            size = int(owner[j - 1]) + 1
+            pair = self.owner[q].astype(np.int64) * size + owner[m]
+            for p, c in voted(pair, q, self.place[q], place[m]).items():
+                yield p // size, p % size, c
+
+
+def _frequent(keys: np.ndarray, least: int) -> np.ndarray:
+    """Whether a key occurs so often."""
+    ordered = np.sort(keys)
+    often = ordered[least - 1 :][ordered[least - 1 :] == ordered[: max(0, len(keys) - least + 1)]]
+    often = often[np.r_[True, often[1:] != often[:-1]][: len(often)]]
+    if not len(often):
+        return np.zeros(len(keys), dtype=bool)
+    return often[np.minimum(np.searchsorted(often, keys), len(often) - 1)] == keys
+
+
+def _key(*columns: np.ndarray) -> np.ndarray:
+    """A number per row, equal if all columns are; what would not fit in 62 bits is numbered anew."""
+    key, span = np.zeros(len(columns[0]), dtype=np.int64), 1
+    for c in columns:
+        c = c - c.min()
+        wide = int(c.max()) + 1
+        if span * wide >> 62:
+            key, c = (np.unique(x, return_inverse=True)[1] for x in (key, c))
+            span, wide = int(key.max()) + 1, int(c.max()) + 1
+        key, span = key * wide + c, span * wide
+    return key
 
 
 def voted(pair: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[int, int]:
     """For each pair of a query and an image the votes for one turn, scale and shift, if they suffice. q tells
-    query corners apart; a and b are the places of both ends of each match."""
+    query corners apart; a and b are the places of both ends of each match. Matches of a pair and scale, then those
+    of a bin, that are fewer than LEAST_VOTES are left out before the query corners of the rest are told apart."""
+    best: dict[int, int] = {}
+    if len(pair) < LEAST_VOTES:
+        return best
+    kept = _frequent(_key(pair), LEAST_VOTES)
+    pair, q, a, b = pair[kept], q[kept], a[kept], b[kept]
+    ratio = b[:, 2] / a[:, 2]
+    scale = np.rint(np.log(ratio) / np.log(STEP)).astype(np.int64)
+    if len(pair):
+        kept = _frequent(_key(pair, scale), LEAST_VOTES)
+        pair, q, a, b, ratio, scale = pair[kept], q[kept], a[kept], b[kept], ratio[kept], scale[kept]
+    if not len(pair):
+        return best
     turn = (b[:, 3] - a[:, 3]) % TURNS
     angle = turn * (2 * np.pi / TURNS)
-    ratio = b[:, 2] / a[:, 2]
     sx = b[:, 0] - ratio * (np.cos(angle) * a[:, 0] - np.sin(angle) * a[:, 1])
     sy = b[:, 1] - ratio * (np.sin(angle) * a[:, 0] + np.cos(angle) * a[:, 1])
-    scale = np.rint(np.log(ratio) / np.log(STEP)).astype(np.int64)
-    best: dict[int, int] = {}
     for shift in range(8):  # grids moved by half a step, so that agreeing votes share a bin in one
         half = [0.5 * (shift >> k & 1) for k in range(3)]
         spot = (
@@ -235,11 +278,16 @@ def voted(pair: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict
             np.floor(sx / SHIFT + half[1]).astype(np.int64),
             np.floor(sy / SHIFT + half[2]).astype(np.int64),
         )
-        votes = np.unique(np.stack([pair, scale, *spot, q]), axis=1)
-        same = np.r_[True, (votes[:5, 1:] != votes[:5, :-1]).any(axis=0)]
-        first = np.flatnonzero(same)
-        count = np.diff(np.r_[first, votes.shape[1]])
-        for p, c in zip(votes[0, first[count >= LEAST_VOTES]].tolist(), count[count >= LEAST_VOTES].tolist()):
+        key = _key(pair, scale, *spot)
+        some = np.flatnonzero(_frequent(key, LEAST_VOTES))
+        if not len(some):
+            continue
+        some = some[np.lexsort((q[some], key[some]))]
+        bin_, corner = key[some], q[some]
+        first = np.r_[True, bin_[1:] != bin_[:-1]]
+        at = np.flatnonzero(first)
+        count = np.add.reduceat(first | np.r_[True, corner[1:] != corner[:-1]], at, dtype=np.int64)
+        for p, c in zip(pair[some[at]][count >= LEAST_VOTES].tolist(), count[count >= LEAST_VOTES].tolist()):
             best[p] = max(best.get(p, 0), c)
     return best
 

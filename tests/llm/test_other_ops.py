@@ -1,7 +1,9 @@
 """Operators 2, 3, 6 and 9, and the pipeline."""
 
 import hashlib
+import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -247,6 +249,58 @@ def test_search_finds_what_brute_force_finds():
     assert found <= exact and len(found) >= 0.9 * len(exact) and len(exact) >= 130
 
 
+def test_search_costs_less_than_describing():
+    """Random candidates of 200 queries, most of the search, are to cost less than the images' corners do."""
+
+    def described(some):
+        owner, place, bits = media.describe(np.stack(some))
+        order = np.argsort(owner, kind="stable")
+        return owner[order], place[order], bits[order]
+
+    queries, rows = images(200), images(100, seed=9)
+    owner, place, bits = described(queries)
+    other, other_bits = media.mirrored(place, bits)
+    tables = media.Tables(np.r_[2 * owner, 2 * owner + 1], np.concatenate([place, other]), np.concatenate([bits, other_bits]))
+    costs = []
+    for _ in range(3):
+        start = time.process_time()
+        corners = described(rows)
+        middle = time.process_time()
+        list(tables.copies(*corners))
+        costs.append((time.process_time() - middle) / (middle - start))
+    assert min(costs) < 1, costs
+
+
+@pytest.mark.parametrize("wide", [40, 1e15])
+def test_votes_are_those_of_a_plain_count(wide):
+    rng = np.random.default_rng(4)
+    n = 6000
+    pair, q = rng.integers(0, 60, n) ** 2 * (1 << 40), rng.integers(0, 30, n)
+
+    def places():
+        xy = rng.choice([0.0, 7.0, 13.5, wide], (n, 2)) + rng.choice([0.0, 2.0, 3.0], (n, 2))
+        scale = 1 / rng.choice([1.0, 0.8, 0.64], n)
+        return np.column_stack([xy, scale, rng.integers(0, 3, n)]).astype(np.float32)
+
+    a, b = places(), places()
+    turn = (b[:, 3] - a[:, 3]) % media.TURNS
+    angle, ratio = turn * (2 * np.pi / media.TURNS), b[:, 2] / a[:, 2]
+    x = b[:, 0] - ratio * (np.cos(angle) * a[:, 0] - np.sin(angle) * a[:, 1])
+    y = b[:, 1] - ratio * (np.sin(angle) * a[:, 0] + np.cos(angle) * a[:, 1])
+    scale = np.rint(np.log(ratio) / np.log(media.STEP))
+    want = {}
+    for dt, dx, dy in itertools.product([0, 0.5], repeat=3):
+        bins = {}
+        for i in range(n):
+            spot = np.floor(turn[i] / media.TURN + dt) % (media.TURNS // media.TURN + 1), np.floor(x[i] / media.SHIFT + dx), np.floor(y[i] / media.SHIFT + dy)
+            bins.setdefault((pair[i], scale[i], *spot), set()).add(q[i])
+        for (p, *_), own in bins.items():
+            if len(own) >= media.LEAST_VOTES:
+                want[int(p)] = max(want.get(int(p), 0), len(own))
+    assert media.voted(pair, q, a, b) == want and 3 < len(want) < 60
+    assert media.voted(pair[:0], q[:0], a[:0], b[:0]) == media.voted(pair[:3], q[:3], a[:3], b[:3]) == {}
+
+
 def test_join_gives_the_same_rows(spark, monkeypatch):
     own = images(8)
     rows = [(100 * i, media.pgm(x)) for i, x in enumerate(own)]
