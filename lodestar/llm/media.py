@@ -24,6 +24,7 @@ are members of the same class; an empty table gives no rows; other columns are i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -372,7 +373,8 @@ def _search(images: DataFrame, ids: list[int], places: list[bytes], bits: list[b
     return images.select("id", "places", "bits").mapInArrow(run, MATCHES)
 
 
-CORNER = "band int, value int, id long, corner long, x float, y float, scale float, turn float, words array<long>, values array<int>"
+WORDS = BITS // 64
+CORNER = "band int, value int, id long, corner long, x float, y float, scale float, turn float, " + ", ".join(f"w{k} long" for k in range(WORDS))
 
 
 def _banded(images: DataFrame, sides: int) -> DataFrame:
@@ -388,29 +390,35 @@ def _banded(images: DataFrame, sides: int) -> DataFrame:
                     n, values = len(own), bands(own)
                     words = np.ascontiguousarray(own).view(np.int64)
                     flat = lambda x: np.tile(x, BANDS)
-                    lists = lambda x: pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, x.size * BANDS + 1, x.shape[1], dtype=np.int32)), pa.array(np.tile(x, (BANDS, 1)).ravel())
-                    )
                     columns = [
                         pa.array(np.repeat(np.arange(BANDS, dtype=np.int32), n)), pa.array(values.T.ravel().astype(np.int32)),
                         pa.array(np.full(n * BANDS, i, dtype=np.int64)), pa.array(flat(2 * np.arange(n, dtype=np.int64) + side)),
-                        *(pa.array(flat(at[:, k])) for k in range(4)), lists(words), lists(values.astype(np.int32)),
+                        *(pa.array(flat(at[:, k])) for k in range(4)), *(pa.array(flat(words[:, k])) for k in range(WORDS)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CORNER.split(", ")])
 
     return images.select("id", "places", "bits").mapInArrow(run, CORNER)
 
 
+def _band_masks() -> np.ndarray:
+    """(band, word): the bits of each band in the words of a descriptor."""
+    bits = np.zeros((BANDS, BITS), dtype=np.uint8)
+    for k in range(BANDS):
+        bits[k, k * BAND_BITS : (k + 1) * BAND_BITS] = 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _joined(images: DataFrame, queries: DataFrame) -> DataFrame:
     """The same matches by a join of the Hamming tables of both sides."""
-    q = _banded(queries, 2).select("band", "value", *(F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "scale", "turn", "words", "values")))
+    words = [f"w{k}" for k in range(WORDS)]
+    q = _banded(queries, 2).select("band", "value", *(F.col(c).alias(f"q_{c}") for c in ("id", "corner", "x", "y", "scale", "turn", *words)))
     both = q.join(_banded(images, 1), ["band", "value"]).where("q_id != id")
-    equal = F.zip_with("q_values", "values", lambda a, b: a == b)
-    differ = F.aggregate(
-        F.zip_with("q_words", "words", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x
-    )
+    differ = [F.col(f"q_{w}").bitwiseXOR(F.col(w)) for w in words]
+    near = both.where(sum((F.bit_count(x) for x in differ), F.lit(0)) <= MOST_BITS)
     # A pair that shares several bands counts in the first.
-    near = both.where(F.array_position(equal, True) == F.col("band") + 1).where(differ <= MOST_BITS)
+    for k, mask in enumerate(_band_masks()):
+        own = [x.bitwiseAND(F.lit(m)) for x, m in zip(differ, mask.tolist()) if m]
+        near = near.where((F.col("band") <= k) | (reduce(Column.bitwiseOR, own) != 0))
     ends = ("x", "y", "scale", "turn")
     near = near.select("q_id", "id", (F.col("q_corner") % 2).alias("side"), "q_corner", *(f"q_{c}" for c in ends), *ends)
 

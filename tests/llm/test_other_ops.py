@@ -316,6 +316,20 @@ def test_join_gives_the_same_rows(spark, monkeypatch):
     assert media.near_copies(df.limit(0), is_query, table_bytes=-1).count() == 0
 
 
+def test_join_compares_words_without_arrays(spark):
+    """Lambdas over arrays are interpreted for each candidate; and each corner was to carry all its bands' values."""
+    bits = np.random.default_rng(2).integers(0, 256, (200, media.BITS // 8), dtype=np.uint8)
+    one = np.unpackbits(bits, axis=1).view(bool)
+    masks = media._band_masks()
+    for k in range(media.BANDS):
+        part = one[:, k * media.BAND_BITS : (k + 1) * media.BAND_BITS]
+        assert (((bits.view(np.int64) & masks[k]) == 0).all(axis=1) == ~part.any(axis=1)).all()
+        assert np.bitwise_count(masks[k].view(np.uint64)).sum() == media.BAND_BITS
+    images = spark.createDataFrame([(0, b"", b"")], "id long, places binary, bits binary")
+    plan = media._joined(images, images)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "bit_count" in plan and "lambda" not in plan and "array" not in plan
+
+
 def test_media_query(spark, sf_dir):
     got = queries.op6_media_copies(spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
