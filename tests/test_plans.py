@@ -85,6 +85,21 @@ def test_counted_pairs(spark, monkeypatch, copies):
     assert nested.counted_pairs(o, i.limit(0), "k", "i", "v", "w").count() == 0
 
 
+@pytest.mark.parametrize("copies, held", [(10, 3), (1 << 16, 7), (1 << 16, 512)])
+def test_counted_pairs_hold_few_copies(spark, monkeypatch, copies, held):
+    """Generated code keeps what it makes of a row until it is read, so a row's copies are handed to it a few at a time."""
+    monkeypatch.setattr(nested, "COPIES", copies)
+    monkeypatch.setattr(nested, "HELD", held, raising=False)
+    o = spark.createDataFrame([(0, 500.0), (1, 1050.5), (2, 0.5), (2000, 9000.0)], "k int, v double")
+    i = spark.range(1100).selectExpr("CAST(id AS INT) AS i", "CAST(id AS DOUBLE) AS w")
+    got = nested.counted_pairs(o, i, "k", "i", "v", "w")
+    assert {r.k: r["count"] for r in got.groupBy("k").count().collect()} == {0: 499, 1: 1050, 2: 1, 2000: 1100}
+    got.collect()
+    steps = [x for x in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "Generate" in x]
+    assert "array_repeat(true, _held" in steps[0] and "*(" in steps[0]
+    assert f"Some({held})" in steps[1] and "_copies" in steps[1] and "*(" not in steps[1]
+
+
 def test_inequalities_plan_no_product(spark, sf_dir):
     plan = queries.queries()["qf7_unnested"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
